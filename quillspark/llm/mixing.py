@@ -30,7 +30,7 @@ def water_fill(sources: DataFrame, epochs: float) -> DataFrame:
     """source, source_size, weight -> those and target. One row a source; caps are ``epochs`` times the size.
 
     With caps in ascending order of cap / weight, the level after clamping the first k is (total - their caps) / (the
-    others' weights). The first k whose next ratio is no lower than that level is the answer; a level at or above all ratios
+    others' weights). The first k whose next ratio is no lower than that level is the answer (later levels are lower); a level above all ratios
     clamps everything. Sources of size 0 get 0.
     """
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -42,7 +42,7 @@ def water_fill(sources: DataFrame, epochs: float) -> DataFrame:
         "rest_weight": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
     })
     x = x.withColumn("level", (F.col("total") - F.col("below_cap")) / F.col("rest_weight"))
-    found = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
+    found = F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
     return x.select("source", "source_size", "weight", F.when(F.col("ratio") >= F.coalesce(found, F.lit(float("inf"))), F.coalesce(found, F.lit(0.0)) * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .ann import nearest
 from .exact_dedup import exact_dedup
+from .html_text import extract
+from .license_scan import scan_licenses
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import pack
 from .pii import find_pii
 from .quality import ACCEPT, fit_quality, score_quality
@@ -31,6 +35,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 4, 2, ACCEPT)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = C.table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(C.table(spark, sf_dir, "documents"))
 
@@ -55,7 +64,7 @@ l AS (
              - coalesce(sum(cap) OVER (ORDER BY ratio, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
             / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level
   FROM c),
-f AS (SELECT min(level) FILTER (WHERE ratio >= level) AS found FROM l),
+f AS (SELECT max(level) FILTER (WHERE ratio >= level) AS found FROM l),
 t AS (
   SELECT source, source_size,
          CASE WHEN found IS NOT NULL AND ratio >= found THEN found * weight ELSE cap END AS target
@@ -76,6 +85,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(C.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(C.table(spark, sf_dir, "pages"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(C.table(spark, sf_dir, "documents"), k=4)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(C.table(spark, sf_dir, "documents"), keep="largest")
 
@@ -95,14 +112,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_toxicity(docs, model), 5, 0, 0.5)
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(C.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
+        "op2_ann": op2_ann,
         "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
+        "op6_html": op6_html,
+        "op7_near_dedup": op7_near_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_license": op10_license,
     }
 
 
