@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, relational, scalars
+from . import analysis, corpus, kernels, relational, scalars
 
-_PARTS = (scalars, relational, corpus)
+_PARTS = (scalars, relational, corpus, analysis, kernels)
 
 
 def queries() -> dict:
