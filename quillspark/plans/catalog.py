@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, corpus, kernels, relational, scalars
+from . import analysis, corpus, kernels, more, relational, scalars, sources
 
-_PARTS = (scalars, relational, corpus, analysis, kernels)
+_PARTS = (scalars, relational, corpus, analysis, kernels, sources, more)
 
 
 def queries() -> dict:
