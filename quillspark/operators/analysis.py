@@ -33,6 +33,7 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_terms: int |
 def lexical_js(weights: DataFrame, members: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Jensen-Shannon distance (natural log) between the mean vectors of the before and after side of each window, smoothed
     over the whole vocabulary: terms that neither side has all contribute the same, in closed form."""
+    weights = saved(weights)
     v = weights.agg(F.countDistinct("term").alias("v"))
     sizes = members.groupBy(*by, "side").agg(F.countDistinct(key).alias("n"))
     mass = members.join(weights, key).groupBy(*by, "side", "term").agg(F.sum("weight").alias("w")).join(sizes, [*by, "side"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import saved
 
 C = F.col
 
@@ -103,7 +104,7 @@ def blocked_match(refs: DataFrame, works: DataFrame, score, least: float) -> Dat
 def near_duplicate_groups(works: DataFrame, prefix: int = 200, least: int = 5) -> DataFrame:
     """work_id, group: works that share the start of their normalised abstract, groups of at least ``least``, numbered by
     falling size."""
-    k = works.withColumn("key", F.substring(T.ascii_words(C("abstract")), 1, prefix)).where(F.length("key") >= 50)
+    k = saved(works.select("work_id", F.substring(T.ascii_words(C("abstract")), 1, prefix).alias("key")).where(F.length("key") >= 50))
     n = k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("work_id").alias("first")).where(C("n") >= least)
     n = n.withColumn("group", F.row_number().over(Window.orderBy(F.desc("n"), "first")))
     return k.join(n, "key").select("work_id", "group")
