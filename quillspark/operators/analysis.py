@@ -161,3 +161,28 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     links.unpersist()
     base.unpersist()
     return ranks.select("node", "rank")
+
+
+def novelty(weights: DataFrame, works: DataFrame, members: DataFrame, key: str, year: str, clip: float = 50.0) -> DataFrame:
+    """anchor, width, novelty, transience, resonance: mean over the anchor year's documents of the clipped KL divergence from the
+    mean vector of the years before and after, smoothed over the whole vocabulary.
+
+    Terms that a document lacks all have one probability, so their part needs only the window's sum of logarithms: present
+    terms are joined, absent ones are never written out.
+    """
+    weights = saved(weights)
+    v = weights.agg(F.countDistinct("term").cast("double").alias("v"))
+    n = members.groupBy("anchor", "width", "side").agg(F.countDistinct(key).alias("n"))
+    m = members.join(weights, key).groupBy("anchor", "width", "side", "term").agg(F.sum("weight").alias("w")).join(n, ["anchor", "width", "side"]).withColumn("m", C("w") / C("n"))
+    total = Window.partitionBy("anchor", "width", "side")
+    m = m.crossJoin(F.broadcast(v)).withColumn("s", F.sum("m").over(total) + C("v") * EPS)
+    q = saved(m.select("anchor", "width", "side", "term", "v", "s", ((C("m") + EPS) / C("s")).alias("q")))
+    all_ = q.groupBy("anchor", "width", "side").agg(F.max("v").alias("v"), (EPS / F.max("s")).alias("q0"), (F.sum(F.ln("q")) + (F.max("v") - F.count(F.lit(1))) * F.ln(EPS / F.max("s"))).alias("logs"))
+    own = works.select(key, C(year).alias("anchor")).join(weights, key)
+    own = own.withColumn("sx", F.sum("weight").over(Window.partitionBy(key)))
+    d = own.join(all_, "anchor").join(q.select("anchor", "width", "side", "term", "q"), ["anchor", "width", "side", "term"], "left").withColumn("q", F.coalesce("q", "q0"))
+    d = d.withColumn("z", C("sx") + C("v") * EPS).withColumn("p", (C("weight") + EPS) / C("z")).withColumn("p0", EPS / C("z"))
+    kl = F.sum(C("p") * F.ln(C("p") / C("q")) - C("p0") * F.ln(C("p0") / C("q"))) + F.max(C("p0") * (C("v") * F.ln("p0") - C("logs")))
+    d = d.groupBy("anchor", "width", "side", key).agg(F.least(kl, F.lit(clip)).alias("kl"))
+    d = d.groupBy("anchor", "width").agg(F.avg(F.when(C("side") == "before", C("kl"))).alias("novelty"), F.avg(F.when(C("side") == "after", C("kl"))).alias("transience"))
+    return d.withColumn("resonance", C("novelty") - C("transience"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, corpus, kernels, more, relational, scalars, sources
+from . import analysis, corpus, kernels, more, relational, rest, scalars, sources
 
-_PARTS = (scalars, relational, corpus, analysis, kernels, sources, more)
+_PARTS = (scalars, relational, corpus, analysis, kernels, sources, more, rest)
 
 
 def queries() -> dict:
