@@ -40,6 +40,8 @@ _NAMES = re.compile(
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_PAGE_HEADER = re.compile(r"(?i)(?:^|[\s_-])header(?:$|[\s_-])")
+_MAIN = re.compile(r"(?i)\s(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b)")
 _ATTR = re.compile(r"\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
@@ -51,7 +53,7 @@ def _is_chrome(name: str, tag: str, in_main: bool) -> bool:
         return False
     for key, *values in _ATTR.findall(tag):
         value, key = "".join(values), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in _ROLES or key in ("class", "id") and name not in ("body", "html", "article", "main") and _NAMES.search(value):
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in _ROLES or key in ("class", "id") and name not in ("body", "html", "article", "main") and (_NAMES.search(value) or not in_main and _PAGE_HEADER.search(value)):
             return True
     return False
 
@@ -125,7 +127,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                         break
         if name in _VOID or tag.endswith("/>") and name not in _BLOCK:
             continue
-        in_main = main or name in ("article", "main")
+        in_main = main or name in ("article", "main") or bool(_MAIN.search(tag))
         bad = chrome or _is_chrome(name, tag, main)
         if name in _BLOCK or bad and not chrome:  # inline elements matter only if they hide something
             if name not in _BLOCK:
