@@ -62,8 +62,8 @@ def bursts(df: DataFrame, key: str, text: str, year: str, top: int = 100, z: flo
 
 def log_odds(counts: DataFrame, before: str, after: str) -> DataFrame:
     """Log odds of each term after against before, with the corpus as Dirichlet prior of the vocabulary's size."""
-    g = Window.partitionBy()
-    d = counts.withColumns({"nb": F.sum(before).over(g), "na": F.sum(after).over(g), "a0": F.count(F.lit(1)).over(g)})
+    counts = saved(counts)
+    d = counts.crossJoin(F.broadcast(counts.agg(F.sum(before).alias("nb"), F.sum(after).alias("na"), F.count(F.lit(1)).alias("a0"))))
     alpha = C("a0") * (C(before) + C(after)) / (C("nb") + C("na"))
     one = lambda f, n: F.ln((C(f) + alpha) / (C(n) + C("a0") - C(f) - alpha))
     return d.withColumn("log_odds", one(after, "na") - one(before, "nb")).drop("nb", "na", "a0")

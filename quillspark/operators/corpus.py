@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.relational import numbered
 from quillspark.session import saved
 
 C = F.col
@@ -106,5 +107,5 @@ def near_duplicate_groups(works: DataFrame, prefix: int = 200, least: int = 5) -
     falling size."""
     k = saved(works.select("work_id", F.substring(T.ascii_words(C("abstract")), 1, prefix).alias("key")).where(F.length("key") >= 50))
     n = k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("work_id").alias("first")).where(C("n") >= least)
-    n = n.withColumn("group", F.row_number().over(Window.orderBy(F.desc("n"), "first")))
+    n = numbered(n, [F.desc("n"), C("first")], "group")
     return k.join(n, "key").select("work_id", "group")

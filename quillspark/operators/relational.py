@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import saved
+
 
 def concentration(df: DataFrame, by: str, venue: str) -> DataFrame:
     """HHI and Shannon entropy (natural log) of the shares of ``venue`` in each ``by``. Two partial aggregations."""
@@ -104,13 +106,24 @@ def js_divergence(counts: DataFrame, by: list[str], item: str, p: str, q: str, b
     return d.groupBy(*by).agg((F.sqrt(js) if distance else js).alias("js"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number", weight: Column | None = None) -> DataFrame:
+    """Rows with their place in a global order, from 1 (or with the running sum of ``weight`` before them): range partitions,
+    numbered inside, plus what the partitions before hold. No task sees more than one range."""
+    d = saved(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    one = F.lit(1) if weight is None else weight
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    start = d.groupBy("_p").agg(F.sum(one).alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+    w = Window.partitionBy("_p").orderBy(*order)
+    inside = F.row_number().over(w) if weight is None else F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.join(F.broadcast(start), "_p").withColumn(name, inside + F.col("_b")).drop("_p", "_b")
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by ranks of distinct scores, ties half. Ranks come from counts by score, not from a sort of
-    all rows."""
+    """Area under the ROC curve by ranks of distinct scores, ties half."""
     c = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("w", F.col("p") * (below + F.col("n") / 2))
-    return c.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    c = numbered(c, [F.col(score)], "below", F.col("n"))
+    w = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
+    return c.agg((w / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
 def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -17,7 +17,7 @@ REFERENCE_COLUMNS = ("source_doi", "source_id", "ref_doi", "ref_title", "ref_fir
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = WORK_SCHEMA) -> DataFrame:
     """A catalog: all strings, empty stays empty, quoted newlines kept; the source is the file's name before ``_works``."""
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\0")
+    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', emptyValue="").na.fill("")
     return df.withColumn("catalog", F.regexp_extract(C("_metadata.file_name"), r"^(.*?)(?:_works)?\.csv", 1))
 
 
