@@ -167,11 +167,14 @@ class Graph:
                 best = part if len(part) > len(best) else best
         return sorted(best)
 
-    def spectral_gap(self, most: int = 1500) -> float:
-        """Second smallest eigenvalue of the normalised Laplacian of the largest component (its first ``most`` nodes)."""
-        part = self.largest()[:most]
+    def spectral_gap(self, dense: int = 1500, steps: int = 150) -> float:
+        """Second smallest eigenvalue of the normalised Laplacian of the largest component: of the matrix itself up to ``dense``
+        nodes, above that by Lanczos steps on I + S without its known top vector."""
+        part = self.largest()
         if len(part) < 3:
             return math.nan
+        if len(part) > dense:
+            return self._lanczos_gap(part, steps)
         at, near = {v: i for i, v in enumerate(part)}, self.neighbours()
         a = np.zeros((len(part), len(part)))
         for v in part:
@@ -181,7 +184,34 @@ class Graph:
         d = np.maximum(a.sum(1), 1)
         return float(np.sort(np.linalg.eigvalsh(np.eye(len(part)) - a / np.sqrt(d[:, None] * d[None, :])))[1])
 
-    def betweenness(self, pivots: int = 200, seed: int = 0) -> float:
+    def _lanczos_gap(self, part: list[int], steps: int) -> float:
+        at = np.full(self.n, -1)
+        at[part] = np.arange(len(part))
+        pairs = np.unique(np.sort(np.stack([at[self.src], at[self.dst]]), axis=0), axis=1)
+        a, b = pairs[:, pairs[0] >= 0]
+        d = np.bincount(np.r_[a, b], minlength=len(part)).astype(float)
+        w = 1 / np.sqrt(d[a] * d[b])
+        known = np.sqrt(d / d.sum())
+        basis, alpha, beta = [], [], []
+        q = np.random.default_rng(0).standard_normal(len(part))
+        for _ in range(min(steps, len(part) - 1)):
+            q -= known * (known @ q)
+            for v in basis:
+                q -= v * (v @ q)
+            size = np.linalg.norm(q)
+            if size < 1e-10:
+                break
+            q /= size
+            if basis:
+                beta.append(size)
+            basis.append(q)
+            r = q + np.bincount(a, w * q[b], len(part)) + np.bincount(b, w * q[a], len(part))
+            alpha.append(q @ r)
+            q = r - alpha[-1] * q
+        t = np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1)
+        return float(2 - np.linalg.eigvalsh(t)[-1])
+
+    def betweenness(self, pivots: int = 500, seed: int = 0) -> float:
         """Mean betweenness on the largest component, from at most ``pivots`` sources."""
         part, near = self.largest(), self.neighbours()
         if len(part) < 3:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 
 import pandas as pd
@@ -12,8 +13,14 @@ from pyspark.sql import types as T
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
+    if a == b:
+        return len(a)
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
     if not a or not b:
-        return 0
+        return same
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -21,7 +28,7 @@ def lcs(a: str, b: str) -> int:
     for c in b:
         hit = row & at.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - bin(row).count("1")
+    return same + len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -29,6 +36,7 @@ def ratio(a: str, b: str) -> float:
     return 100.0 * 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+@functools.lru_cache(4096)
 def sorted_tokens(a: str) -> str:
     return " ".join(sorted(re.findall(r"\w+", a.lower())))
 

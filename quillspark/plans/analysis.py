@@ -158,15 +158,14 @@ def _(papers):
     return v.select(rank("x").alias("rx"), rank("y").alias("ry")).agg(r6(F.corr("rx", "ry"), "rho"), F.count(F.lit(1)).alias("n"))
 
 
-_BREAKS = "bk AS (SELECT DISTINCT 'M' || work_id % 3 AS method, CASE work_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'lexical' ELSE 'citation' END channel, source || lang AS detector, CAST(1990 + (work_id * 7) % 20 AS VARCHAR) || ';' || CAST(1990 + (work_id * 3) % 20 AS VARCHAR) break_years FROM works WHERE work_id % 10 = 0)"
+_BREAKS = "bk AS (SELECT DISTINCT 'M' || work_id % 3 AS method, CASE work_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'lexical' ELSE 'citation' END channel, source || lang AS detector, CAST(1990 + (work_id * 7) % 20 AS VARCHAR) || ';' || CAST(1990 + (work_id * 3) % 20 AS VARCHAR) break_years FROM works)"
 
 
 @op("BK_10_convergence", "works", sql=f"WITH {_BREAKS}, r AS (SELECT *, row_number() OVER () i FROM bk), y AS (SELECT i, method, channel, CAST(unnest(string_split(break_years, ';')) AS INT) y FROM r), c AS (SELECT DISTINCT y AS year FROM y), h AS (SELECT DISTINCT c.year, i, method, channel FROM c JOIN y ON abs(y.y - c.year) <= 1) SELECT year, count(*) FILTER (WHERE channel = 'semantic') n_semantic, count(*) FILTER (WHERE channel = 'lexical') n_lexical, count(*) FILTER (WHERE channel = 'citation') n_citation, string_agg(DISTINCT method, ';' ORDER BY method) methods_detecting, count(*) n_total, round(count(*) / (SELECT count(*) FROM bk), 4) pct_total FROM h GROUP BY 1")
 def _(works):
-    w = works.where("work_id % 10 = 0")
     y = lambda k: (1990 + (C("work_id") * k) % 20).cast("string")
     m = C("work_id") % 3
-    b = w.select(F.concat(F.lit("M"), m.cast("string")).alias("method"), F.when(m == 0, "semantic").when(m == 1, "lexical").otherwise("citation").alias("channel"), F.concat("source", "lang").alias("detector"), F.concat(y(7), F.lit(";"), y(3)).alias("break_years")).distinct()
+    b = works.select(F.concat(F.lit("M"), m.cast("string")).alias("method"), F.when(m == 0, "semantic").when(m == 1, "lexical").otherwise("citation").alias("channel"), F.concat("source", "lang").alias("detector"), F.concat(y(7), F.lit(";"), y(3)).alias("break_years")).distinct()
     return A.convergence(b)
 
 

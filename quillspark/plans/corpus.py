@@ -89,9 +89,9 @@ def _(edges):
     return R.pairs_within(edges.join(F.broadcast(top), "ref_id", "left_semi"), "source_id", "ref_id")
 
 
-@op("JN_14_coupling", "edges", sql="WITH e AS (SELECT DISTINCT source_id, ref_id FROM edges WHERE ref_id % 50 = 0) SELECT a.source_id a, b.source_id b, count(*) n FROM e a JOIN e b ON a.ref_id = b.ref_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2")
+@op("JN_14_coupling", "edges", sql="WITH e AS (SELECT DISTINCT source_id, ref_id FROM edges) SELECT a.source_id a, b.source_id b, count(*) n FROM e a JOIN e b ON a.ref_id = b.ref_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(edges):
-    return R.pairs_within(edges.where("ref_id % 50 = 0"), "ref_id", "source_id").where("n >= 2")
+    return R.pairs_within(edges, "ref_id", "source_id").where("n >= 2")
 
 
 @op("JN_15_window_members", "papers", sql="WITH b AS (SELECT min(year) lo, max(year) hi FROM papers), a AS (SELECT w.w AS width, CAST(y.y AS INT) anchor FROM b, (SELECT unnest([1, 2]) w) w, (SELECT unnest(range(1990, 2010)) y) y WHERE y.y >= lo + w.w AND y.y < hi - w.w) SELECT anchor, CAST(width AS INT) width, CASE WHEN year < anchor THEN 'before' ELSE 'after' END side, count(*) n FROM papers JOIN a ON year BETWEEN anchor - width AND anchor - 1 OR year BETWEEN anchor + 1 AND anchor + width GROUP BY 1, 2, 3")

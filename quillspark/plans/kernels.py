@@ -117,7 +117,7 @@ def change_points(series: DataFrame, by: list[str], t: str, x: str) -> DataFrame
 def _edges(spark, sf_dir):
     from .analysis import window_edges
 
-    return window_edges(proxy.view(spark, sf_dir, "inner_edges").where("source_id % 4 = ref_id % 4"))
+    return window_edges(proxy.view(spark, sf_dir, "inner_edges"))
 
 
 def _series(spark, sf_dir):

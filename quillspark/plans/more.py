@@ -92,8 +92,8 @@ def _(papers):
 
 @op("JN_10_blocked_match", "works")
 def _(works):
-    refs = works.where("work_id % 3 = 0").select(C("work_id").alias("ref_id"), F.concat(F.substring("title", 1, 60), F.lit(" x")).alias("ref_title"), (C("year") + 1).alias("ref_year"))
-    return O.blocked_match(refs, works.select("work_id", F.substring("title", 1, 62).alias("title"), "year"), S.token_sort_ratio, 85.0)
+    refs = works.select(C("work_id").alias("ref_id"), F.concat("title", F.lit(" x")).alias("ref_title"), (C("year") + 1).alias("ref_year"))
+    return O.blocked_match(refs, works.select("work_id", "title", "year"), S.token_sort_ratio, 85.0)
 
 
 @op("JN_11_match_entries", "works", sql="SELECT work_id FROM works WHERE cited_by_count >= 90 AND NOT EXISTS (SELECT 1 FROM works k WHERE k.work_id % 2 = 0 AND k.title = works.title)")
@@ -101,9 +101,10 @@ def _(works):
     return works.where("cited_by_count >= 90").join(works.where("work_id % 2 = 0").select("title"), "title", "left_anti").select("work_id")
 
 
-@op("JN_12_overlap_pairs", "edges", sql="WITH e AS (SELECT DISTINCT ref_id c, source_year r FROM edges WHERE ref_id < 60), n AS (SELECT c, count(*) n FROM e GROUP BY 1), p AS (SELECT a.c a, b.c b, count(*) k FROM e a JOIN e b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2) SELECT a, b, k AS n FROM p JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE k >= 3 AND k > 0.8 * least(x.n, y.n)")
-def _(edges):
-    e = edges.where("ref_id < 60").select(C("ref_id").alias("c"), C("source_year").alias("r")).distinct()
+@op("JN_12_overlap_pairs", "papers", sql="WITH e AS (SELECT DISTINCT venue c, kind || year || source_id % 7 r FROM papers), n AS (SELECT c, count(*) n FROM e GROUP BY 1), p AS (SELECT a.c a, b.c b, count(*) k FROM e a JOIN e b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2) SELECT a, b, k AS n FROM p JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE k >= 3 AND k > 0.8 * least(x.n, y.n)")
+def _(papers):
+    """Venues and what they list: kinds by year and branch."""
+    e = papers.select(C("venue").alias("c"), F.concat("kind", C("year").cast("string"), (C("source_id") % 7).cast("string")).alias("r")).distinct()
     n = e.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
     p = R.pairs_within(e, "r", "c").join(n.select(C("c").alias("a"), C("m").alias("ma")), "a").join(n.select(C("c").alias("b"), C("m").alias("mb")), "b")
     return p.where("n >= 3 and n > 0.8 * least(ma, mb)").select("a", "b", "n")
@@ -345,9 +346,9 @@ op("GR_03_communities", "edges")(lambda edges: _communities(_cocited(edges), (1.
 op("GR_05_resolution_sweep", "edges")(lambda edges: _communities(_cocited(edges), (0.5, 1.0, 1.5, 2.0)))
 
 
-@op("GR_04_coupling", "edges", sql="WITH e AS (SELECT DISTINCT source_id, ref_id FROM edges WHERE ref_id % 40 = 0) SELECT a.source_id a, b.source_id b, count(*) n FROM e a JOIN e b ON a.ref_id = b.ref_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2")
+@op("GR_04_coupling", "edges", sql="WITH e AS (SELECT DISTINCT source_id, ref_id FROM edges) SELECT a.source_id a, b.source_id b, count(*) n FROM e a JOIN e b ON a.ref_id = b.ref_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(edges):
-    return R.pairs_within(edges.where("ref_id % 40 = 0"), "ref_id", "source_id").where("n >= 2")
+    return R.pairs_within(edges, "ref_id", "source_id").where("n >= 2")
 
 
 @op("GR_06_temporal_communities", "edges")

@@ -81,14 +81,14 @@ def _(works):
     return kernels.classifier_test(d, (1, 2))
 
 
-def _graph_null(edges, measure, n=10):
-    """Nodes of the union keep their edges and swap sides; the change of the measure between induced subgraphs."""
+def _graph_null(edges, change, n=10):
+    """Nodes of the union keep their edges and swap sides; ``change`` between the subgraphs that the sides induce."""
     def one(key, g):
         r = np.random.default_rng(50_000 + 100 * key[0] + key[1])
         before, after = ({v for e in zip(h.source_id, h.ref_id, strict=True) for v in e} for h in (g[g.side == "before"], g[g.side == "after"]))
         edges = list(zip(g.source_id, g.ref_id, strict=True))
         part = lambda keep: KN.Graph([e for e in edges if e[0] in keep and e[1] in keep])
-        value = lambda a, b: abs(measure(part(b)) - measure(part(a)))
+        value = lambda a, b: change(part(a), part(b))
         nodes, seen, null = sorted(before | after), value(before, after), []
         for _ in range(n):
             o = r.permutation(len(nodes))
@@ -107,8 +107,12 @@ def _entropy(graph):
     return float(-(k / k.sum() * np.log(k / k.sum())).sum()) if k.sum() >= 3 else float("nan")
 
 
-for _n, _f in (("UN_07_null_G5", KN.Graph.exponent), ("UN_07_null_G6", _entropy), ("UN_09_null_G2", KN.Graph.spectral_gap), ("UN_07_null_G8", KN.Graph.betweenness), ("UN_08_null_G1", lambda g: float(g.pagerank().max()) if g.n else float("nan"))):
-    op(_n, "inner_edges")(lambda edges, _f=_f: _graph_null(window_edges(edges.where("source_id % 8 = ref_id % 8")), _f))
+def _change(measure):
+    return lambda a, b: abs(measure(b) - measure(a))
+
+
+for _n, _f in (("UN_07_null_G5", _change(KN.Graph.exponent)), ("UN_07_null_G6", _change(_entropy)), ("UN_09_null_G2", _change(KN.Graph.spectral_gap)), ("UN_07_null_G8", _change(KN.Graph.betweenness)), ("UN_08_null_G1", KN.pagerank_js)):
+    op(_n, "inner_edges")(lambda edges, _f=_f: _graph_null(window_edges(edges), _f))
 
 
 @op("UN_13_graph_subsample", "inner_edges")
@@ -123,7 +127,7 @@ def _(edges):
         value = abs(v[1] - v[0])
         return pd.DataFrame({"anchor": [key[0]], "width": [key[1]], "replicate": [key[2]], "value": [None if value != value else value]})
 
-    m = window_edges(edges.where("source_id % 4 = ref_id % 4")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    m = window_edges(edges).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return m.groupBy("anchor", "width", "replicate").applyInPandas(one, "anchor int, width int, replicate int, value double")
 
 
@@ -199,11 +203,16 @@ def _(works):
 
 @op("LX_08_fuzzy_titles", "works")
 def _(works):
-    """Titles that share a rare word, are scored in full, and link above 75; components by joins."""
-    t = works.where(F.size(F.split("title", " ")) >= 4).select("work_id", F.substring("title", 1, 120).alias("title"))
-    words = t.select("work_id", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("w"))
-    rare = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 12").select("w")
-    p = R.pairs_within(words.join(rare, "w"), "w", "work_id").select("a", "b")
+    """Titles of four words or more with at least half of their distinct words in common, scored whole, linked above 75. Equal
+    titles are one node (the smallest work). A pair at that overlap shares a word among the first ones of each title in order of
+    rarity (prefix filter), so candidates come from an equi-join on rare words and none is capped."""
+    t = works.where(F.size(F.split("title", " ")) >= 4).groupBy("title").agg(F.min("work_id").alias("work_id"))
+    words = A.saved(t.select("work_id", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("w")))
+    n = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    order = R.Window.partitionBy("work_id")
+    first = words.join(n, "w").select("work_id", "w", F.row_number().over(order.orderBy("n", "w")).alias("r"), F.count(F.lit(1)).over(order).alias("k"))
+    first = first.where("r <= k - ceil(0.5 * k) + 1").select("work_id", "w")
+    p = R.pairs_within(first, "w", "work_id").select("a", "b")
     p = p.join(t.select(C("work_id").alias("a"), C("title").alias("ta")), "a").join(t.select(C("work_id").alias("b"), C("title").alias("tb")), "b")
     return p.withColumn("score", S.token_sort_ratio("ta", "tb")).where("score >= 75").select("a", "b", "score")
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+C = F.col
+
 
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet; readers see all of it or nothing of it (the commit protocol renames at the end)."""
@@ -55,6 +57,6 @@ def deposit(df: DataFrame, drop: list[str], rename: dict[str, str], key: str) ->
 
 
 def canonical_hash(df: DataFrame, digits: int = 8) -> DataFrame:
-    """rows, hash: independent of row order; doubles at ``digits`` digits."""
+    """rows, hash: independent of row order, repeated rows counted; doubles at ``digits`` digits."""
     cells = [F.coalesce(F.format_string(f"%.{digits - 1}e", c) if k in ("double", "float") else F.col(c).cast("string"), F.lit("∅")) for c, k in sorted(df.dtypes)]
-    return df.select(F.xxhash64(*cells).alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("hash"))
+    return df.select(F.xxhash64(*cells).alias("h")).agg(F.count(F.lit(1)).alias("rows"), (F.sum(C("h").cast("decimal(38,0)")) % F.lit(2**61 - 1).cast("decimal(38,0)")).cast("long").alias("hash"))

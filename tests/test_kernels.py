@@ -64,3 +64,15 @@ def test_change_points_on_a_step():
 def test_power_law_exponent():
     edges = [(f"s{k}-{i}-{j}", f"t{k}-{i}") for k, n in ((1, 64), (2, 16), (4, 4), (8, 1)) for i in range(n) for j in range(k)]
     assert 1.0 < K.Graph(edges).exponent() < 3.5
+
+
+def test_lanczos_gap_equals_dense_gap():
+    r = np.random.default_rng(3)
+    g = K.Graph(r.integers(0, 120, (400, 2)).tolist())
+    assert abs(g.spectral_gap() - g.spectral_gap(dense=10)) < 1e-6
+
+
+def test_lcs_with_shared_start():
+    from quillspark.functions import similarity as S
+
+    assert S.lcs("abcdef", "abcxef") == 5 and S.lcs("same", "same") == 4 and S.lcs("ab", "abcd") == 2 and S.lcs("xa", "ya") == 1
