@@ -382,3 +382,154 @@ def dynp(y: np.ndarray, breaks: int, least: int = 2, kernel: bool = False) -> li
         j = int(at[j])
         out.append(j)
     return out[::-1]
+
+
+def mmd_permutations(x: np.ndarray, y: np.ndarray, n: int, seed: int) -> tuple[float, np.ndarray]:
+    """Squared MMD (not clipped) as it is and under label permutations: sides are rows of an indicator matrix over one pooled kernel."""
+    z, r = np.vstack([x, y]), np.random.default_rng(seed)
+    d2 = distances(z, z) ** 2
+    k = np.exp(-d2 / max(float(np.median(d2[np.triu_indices(len(z), 1)])), 1e-12))
+    np.fill_diagonal(k, 0)
+    side = np.zeros((n + 1, len(z)))
+    side[0, : len(x)] = 1
+    for i in range(1, n + 1):
+        side[i, r.permutation(len(z))[: len(x)]] = 1
+    by_side, nx, ny = side @ k, len(x), len(y)
+    xx = (by_side * side).sum(1)
+    xy = by_side.sum(1) - xx
+    yy = k.sum() - xx - 2 * xy
+    value = xx / max(nx * (nx - 1), 1) + yy / max(ny * (ny - 1), 1) - 2 * xy / (nx * ny)
+    return float(value[0]), value[1:]
+
+
+def community_permutations(a, b, n: int, seed: int) -> tuple[float, np.ndarray]:
+    """``community_js`` as it is, and with the union's nodes dealt to two sides of the old sizes."""
+    g = Graph([*a, *b])
+    label = np.unique(g.louvain(), return_inverse=True)[1]
+    seen, size = community_js(a, b), len({v for e in a for v in e})
+    if label.max(initial=0) < 1 or not 0 < size < g.n:
+        return (0.0 if seen != seen else seen), np.zeros(n)
+    r, null = np.random.default_rng(seed), []
+    for _ in range(n):
+        o = r.permutation(g.n)
+        null.append(js_of_counts(*(np.bincount(label[part], minlength=label.max() + 1).astype(float) for part in (o[:size], o[size:]))))
+    return seen, np.array(null)
+
+
+def distances_or_inf(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances where rows of ``y`` that are not finite are infinitely far."""
+    out, ok = np.full((len(x), len(y)), np.inf), np.isfinite(y).all(1)
+    out[:, ok] = distances(x, y[ok])
+    return out
+
+
+def lloyd(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> np.ndarray:
+    """k-means labels from seeded farthest-leaning starts."""
+    r = np.random.default_rng(seed)
+    centers = [x[r.integers(len(x))]]
+    for _ in range(k - 1):
+        d = (distances(x, np.array(centers)) ** 2).min(1)
+        centers.append(x[r.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[0])
+    centers, label = np.array(centers), np.full(len(x), -1)
+    for _ in range(rounds):
+        new = distances(x, centers).argmin(1)
+        if (new == label).all():
+            break
+        label = new
+        centers = np.array([x[label == c].mean(0) if (label == c).any() else centers[c] for c in range(k)])
+    return label
+
+
+def spectral(x: np.ndarray, k: int, near: int = 15, seed: int = 0) -> np.ndarray:
+    """Labels from the k lowest eigenvectors of the normalised Laplacian of the neighbour graph."""
+    n = len(x)
+    if n <= k:
+        return np.arange(n)
+    d, near = distances(x, x), min(near, n - 1)
+    a = np.zeros((n, n))
+    np.put_along_axis(a, np.argpartition(d, near, axis=1)[:, : near + 1], 1.0, axis=1)
+    a = (a + a.T) / 2
+    degree = np.sqrt(a.sum(1))
+    v = np.linalg.eigh(np.eye(n) - a / np.outer(degree, degree))[1][:, :k]
+    return lloyd(v / degree[:, None], k, seed)
+
+
+def _spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
+    n = len(d)
+    best, source, inside = d[0].copy(), np.zeros(n, int), np.zeros(n, bool)
+    inside[0], out = True, []
+    for _ in range(n - 1):
+        at = int(np.where(inside, np.inf, best).argmin())
+        out.append((float(best[at]), int(source[at]), at))
+        inside[at] = True
+        closer = d[at] < best
+        best[closer], source[closer] = d[at][closer], at
+    return sorted(out)
+
+
+def hdbscan(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, core distances): clusters of ``least`` rows or more with the most excess of mass; -1 is noise.
+
+    The tree of mutual reachability is walked from the root: a split counts where both sides hold ``least`` rows, else the
+    smaller side leaves its cluster. A cluster wins over its descendants if its own stability is at least theirs; the root never does.
+    """
+    n = len(x)
+    if n < max(least, 2):
+        return np.full(n, -1), np.zeros(n)
+    d = distances(x, x)
+    np.fill_diagonal(d, 0)
+    core = np.partition(d, min(least, n) - 1, axis=1)[:, min(least, n) - 1]
+    tree = _spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None, :])))
+    owner, top = list(range(n)), list(range(n))
+    kids: dict[int, tuple[int, int, float]] = {}
+    size = [1] * n + [0] * (n - 1)
+
+    def find(v: int) -> int:
+        while owner[v] != v:
+            owner[v] = owner[owner[v]]
+            v = owner[v]
+        return v
+
+    for i, (w, a, b) in enumerate(tree):
+        ra, rb, new = find(a), find(b), n + i
+        kids[new], size[new] = (top[ra], top[rb], w), size[top[ra]] + size[top[rb]]
+        owner[ra], top[rb] = rb, new
+
+    born, stable, parent, under = {2 * n - 2: 0.0}, {2 * n - 2: 0.0}, {}, {2 * n - 2: []}
+    stack = [(2 * n - 2, 2 * n - 2)]  # tree node, cluster that it continues
+    while stack:
+        node, cluster = stack.pop()
+        if node < n:
+            continue
+        a, b, w = kids[node]
+        level = 1 / max(w, 1e-12)
+        if size[a] >= least and size[b] >= least:
+            stable[cluster] += size[node] * (level - born[cluster])
+            for c in (a, b):
+                born[c], stable[c], parent[c], under[c] = level, 0.0, cluster, []
+                under[cluster].append(c)
+                stack.append((c, c))
+            continue
+        for c in (a, b):
+            if size[c] >= least:
+                stack.append((c, cluster))
+            else:
+                stable[cluster] += size[c] * (level - born[cluster])
+    chosen: dict[int, list[int]] = {}
+    mass: dict[int, float] = {}
+    for c in sorted(born):  # children have smaller numbers than parents
+        below = sum(mass[u] for u in under[c])
+        if c != 2 * n - 2 and stable[c] >= below:
+            mass[c], chosen[c] = stable[c], [c]
+        else:
+            mass[c], chosen[c] = below, [y for u in under[c] for y in chosen[u]]
+    label = np.full(n, -1)
+    for k, c in enumerate(sorted(chosen[2 * n - 2])):
+        inside = [c]
+        while inside:
+            v = inside.pop()
+            if v < n:
+                label[v] = k
+            else:
+                inside += kids[v][:2]
+    return label, core

@@ -200,3 +200,16 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     p, z2 = successes / n, z * z
     mid, half = p + z2 / (2 * n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     return (mid - half) / (1 + z2 / n), (mid + half) / (1 + z2 / n)
+
+
+def query_slug(term: Column) -> Column:
+    """A search term as part of a file name."""
+    return F.regexp_replace(F.regexp_replace(F.lower(term), r"(?U)[^\w]", "_"), "^_+|_+$", "")
+
+
+def search_filter(term: Column, first: Column, last: Column, created: Column | None = None) -> Column:
+    """The filter parameter of a works search: term, years from ``first`` to ``last``, records created since ``created``."""
+    parts = [F.lit('default.search:"'), term, F.lit('"')]
+    if created is not None:
+        parts += [F.lit(",from_created_date:"), created]
+    return F.concat(*parts, F.lit(",publication_year:>"), (first - 1).cast("string"), F.lit(",publication_year:<"), (last + 1).cast("string"))

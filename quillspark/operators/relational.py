@@ -127,14 +127,14 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index of two labellings."""
+    """Adjusted Rand index of two labellings; 1 where chance leaves nothing to agree on (one cluster each, or single rows)."""
     n = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     c2 = lambda x: F.sum(x * (x - 1) / 2)
     cells = n.agg(c2(F.col("n")).alias("s"), F.sum("n").alias("t"))
     rows = n.groupBy(a).agg(F.sum("n").alias("n")).agg(c2(F.col("n")).alias("r"))
     cols = n.groupBy(b).agg(F.sum("n").alias("n")).agg(c2(F.col("n")).alias("c"))
-    d = cells.crossJoin(rows).crossJoin(cols).withColumn("e", F.col("r") * F.col("c") / (F.col("t") * (F.col("t") - 1) / 2))
-    return d.select(((F.col("s") - F.col("e")) / ((F.col("r") + F.col("c")) / 2 - F.col("e"))).alias("ari"))
+    d = cells.crossJoin(rows).crossJoin(cols).withColumn("e", F.coalesce(F.try_divide(F.col("r") * F.col("c"), F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0)))
+    return d.select(F.coalesce(F.try_divide(F.col("s") - F.col("e"), (F.col("r") + F.col("c")) / 2 - F.col("e")), F.lit(1.0)).alias("ari"))
 
 
 def trimmed_band(df: DataFrame, by: list[str], x: str, trim: int) -> DataFrame:

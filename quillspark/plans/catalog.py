@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, corpus, kernels, more, relational, rest, scalars, sources
+from . import analysis, corpus, kernels, more, relational, remaining, rest, scalars, sources
 
-_PARTS = (scalars, relational, corpus, analysis, kernels, sources, more, rest)
+_PARTS = (scalars, relational, corpus, analysis, kernels, sources, more, rest, remaining)
 
 
 def queries() -> dict:

@@ -17,14 +17,18 @@ def session(name: str = "quillspark", **conf: str) -> SparkSession:
     return builder.config(map=conf).getOrCreate()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again: lineage is cut and executors may be lost. Only
-    where the setting is missing (tests, one machine) a folder of this machine is set."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only where the setting is missing (tests, one machine) one of this machine is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage is cut and executors may be lost."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,9 +16,10 @@ REFERENCE_COLUMNS = ("source_doi", "source_id", "ref_doi", "ref_title", "ref_fir
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = WORK_SCHEMA) -> DataFrame:
-    """A catalog: all strings, empty stays empty, quoted newlines kept; the source is the file's name before ``_works``."""
+    """A catalog, one file or a folder of parts: all strings, empty stays empty, quoted newlines kept; ``catalog`` is the name
+    before ``_works``."""
     df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', emptyValue="").na.fill("")
-    return df.withColumn("catalog", F.regexp_extract(C("_metadata.file_name"), r"^(.*?)(?:_works)?\.csv", 1))
+    return df.withColumn("catalog", F.regexp_extract(C("_metadata.file_path"), r"([^/]+?)(?:_works)?\.csv(?:/[^/]*)?$", 1))
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -136,3 +137,54 @@ def identifiers(lines: DataFrame) -> DataFrame:
 
 def last_wins(cache: DataFrame, key: str, value: str, row_id: str) -> DataFrame:
     return cache.groupBy(key).agg(F.max_by(value, row_id).alias(value))
+
+
+def _or_empty(x: Column) -> Column:
+    return F.coalesce(x, F.lit(""))
+
+
+def grey_work(metadata: Column, year: Column) -> list[Column]:
+    """A repository item: ``metadata`` (JSON) is a map of lists of values, or a list of keys and values; values of one key are
+    joined."""
+    as_map = F.transform_values(F.from_json(metadata, "map<string,array<struct<value:string>>>"), lambda k, v: F.transform(v, lambda e: e["value"]))
+    flat = F.from_json(metadata, "array<struct<key:string,value:string>>")
+    keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
+    as_list = F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(flat, lambda e: e["key"] == k), lambda e: e["value"])))
+    values = F.when(F.ltrim(metadata).startswith("["), as_list).otherwise(as_map)
+    field = lambda k: _or_empty(F.array_join(F.filter(F.try_element_at(values, F.lit(k)), lambda v: v != ""), " ; "))
+    author = field("dc.contributor.author")
+    return [
+        F.lit("grey").alias("source"), _or_empty(C("uuid")).alias("source_id"), X.normalize_doi(field("dc.identifier.doi")).alias("doi"), field("dc.title").alias("title"), F.split(author, " ; ")[0].alias("first_author"),
+        author.alias("all_authors"), year.alias("year"), F.lit("World Bank").alias("journal"), field("dc.description.abstract").alias("abstract"), field("dc.language.iso").alias("language"), field("dc.subject").alias("keywords"),
+        F.lit("grey literature").alias("categories"), F.lit("").alias("cited_by_count"), F.lit("World Bank").alias("affiliations"),
+    ]
+
+
+def paper_work() -> list[Column]:
+    """A paper of the graph API; categories are its fields of study, then the model's."""
+    names = F.transform(F.coalesce("authors", F.array().cast("array<struct<name:string>>")), lambda a: _or_empty(a["name"]))
+    model = F.transform(F.filter(F.coalesce("s2FieldsOfStudy", F.array().cast("array<struct<category:string,source:string>>")), lambda f: f["source"] == "s2-fos-model"), lambda f: f["category"])
+    return [
+        F.lit("semanticscholar").alias("source"), _or_empty(C("paperId")).alias("source_id"), X.normalize_doi(C("externalIds.DOI")).alias("doi"), _or_empty(C("title")).alias("title"), _or_empty(F.try_element_at(names, F.lit(1))).alias("first_author"),
+        F.array_join(names, " ; ").alias("all_authors"), _or_empty(C("year").cast("string")).alias("year"), _or_empty(C("venue")).alias("journal"), _or_empty(C("abstract")).alias("abstract"), F.lit("").alias("language"), F.lit("").alias("keywords"),
+        F.array_join(F.concat(F.coalesce("fieldsOfStudy", F.array().cast("array<string>")), model), " ; ").alias("categories"), _or_empty(C("citationCount").cast("string")).alias("cited_by_count"), F.lit("").alias("affiliations"),
+    ]
+
+
+def entry_work(entry: Column) -> list[Column]:
+    """A search entry (JSON) whose field names hold prefixes with colons."""
+    fields = F.from_json(entry, "map<string,string>")
+    field = lambda k: _or_empty(F.try_element_at(fields, F.lit(k)))
+    place = F.from_json(field("affiliation"), "array<struct<affilname:string>>")
+    return [
+        F.lit("scopus").alias("source"), F.replace(field("dc:identifier"), F.lit("SCOPUS_ID:"), F.lit("")).alias("source_id"), X.normalize_doi(field("prism:doi")).alias("doi"), field("dc:title").alias("title"), field("dc:creator").alias("first_author"),
+        field("dc:creator").alias("all_authors"), F.substring(field("prism:coverDate"), 1, 4).alias("year"), field("prism:publicationName").alias("journal"), field("dc:description").alias("abstract"), F.lit("").alias("language"), F.lit("").alias("keywords"),
+        field("prism:aggregationType").alias("categories"), field("citedby-count").alias("cited_by_count"), _or_empty(F.try_element_at(place, F.lit(1))["affilname"]).alias("affiliations"),
+    ]
+
+
+def bibliography(entries: DataFrame) -> DataFrame:
+    """Entries as references to check: year only where it is a number."""
+    field = lambda k: _or_empty(F.try_element_at("fields", F.lit(k)))
+    year = F.trim(field("year"))
+    return entries.select(C("key").alias("bib_key"), field("title").alias("bib_title"), F.when(year.rlike("^[0-9]+$"), year.try_cast("int")).alias("bib_year"), X.normalize_doi(field("doi")).alias("bib_doi"), field("author").alias("bib_authors"), C("kind").alias("bib_type"))

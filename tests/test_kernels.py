@@ -76,3 +76,20 @@ def test_lcs_with_shared_start():
     from quillspark.functions import similarity as S
 
     assert S.lcs("abcdef", "abcxef") == 5 and S.lcs("same", "same") == 4 and S.lcs("ab", "abcd") == 2 and S.lcs("xa", "ya") == 1
+
+
+def test_density_and_spectral_clusters_find_separate_groups():
+    x = np.vstack([normal(60, 3, s, s) for s in (0, 20, 40)] + [np.full((1, 3), 300.0)])
+    label, core = K.hdbscan(x, 10)
+    assert [len(set(label[i : i + 60])) for i in (0, 60, 120)] == [1, 1, 1] and len(set(label[:180])) == 3 and label[180] == -1 and len(core) == 181
+    s = K.spectral(x[:180], 3)
+    assert [len(set(s[i : i + 60])) for i in (0, 60, 120)] == [1, 1, 1] and len(set(s)) == 3
+    assert K.hdbscan(x[:5], 10)[0].tolist() == [-1] * 5
+
+
+def test_kernel_permutations_see_a_shift():
+    x, y = normal(40, 4), normal(50, 4, 1.0, 1)
+    seen, null = K.mmd_permutations(x, y, 200, 1)
+    assert abs(seen - K.mmd2(x, y)) < 1e-9 and (null >= seen).mean() < 0.05
+    seen, null = K.community_permutations([(i, i + 1) for i in range(20)], [(i, i + 1) for i in range(100, 120)], 100, 1)
+    assert (null >= seen).mean() < 0.05

@@ -44,3 +44,10 @@ def test_pagerank_sums_to_one(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (2, 4)], "source_id long, ref_id long")
     got = {r.node: r.rank for r in A.pagerank(e, rounds=20).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and got[4] > got[2] > got[1]
+
+
+def test_rand_index_of_trivial_labellings(spark):
+    one = spark.createDataFrame([(0, 0), (0, 0), (0, 0)], "a int, b int")
+    assert R.rand_index(one, "a", "b").first().ari == 1.0
+    half = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 1)], "a int, b int")
+    assert R.rand_index(half, "a", "b").first().ari == 1.0
