@@ -42,7 +42,12 @@ def _(works):
     return works.select("work_id", T.invert_index(x).alias("out"))
 
 
-@op("FN_11_detect_language", "works")
+_COUNTS = ", ".join(f"len([x for x in w if x in ({', '.join(repr(v) for v in words.split())})]) {k}" for k, words in S.STOP_WORDS.items())
+_DETECTED = f"""s AS (SELECT work_id, lang, abstract, regexp_split_to_array(lower(abstract), '[^\\p{{L}}]+') w FROM works), n AS (SELECT work_id, lang, abstract, {_COUNTS} FROM s),
+d AS (SELECT work_id, lang, abstract, CASE WHEN length(trim(abstract)) >= 20 AND greatest(de, en, es, fr) > 0 THEN CASE greatest(de, en, es, fr) WHEN de THEN 'de' WHEN en THEN 'en' WHEN es THEN 'es' ELSE 'fr' END END detected FROM n)"""
+
+
+@op("FN_11_detect_language", "works", sql=f"WITH {_DETECTED} SELECT work_id, lang, detected FROM d")
 def _(works):
     return works.select("work_id", "lang", S.detect_language(C("abstract")).alias("detected"))
 
@@ -121,7 +126,7 @@ def _(works):
     return A.tokens(works, "work_id", "abstract").groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
-@op("SL_05_quota_selection", "works")
+@op("SL_05_quota_selection", "works", sql="WITH r AS (SELECT work_id, lang, cited_by_count, row_number() OVER (PARTITION BY lang ORDER BY cited_by_count DESC, work_id) r FROM works) SELECT work_id, lang, cited_by_count FROM r WHERE r <= 15 UNION ALL (SELECT work_id, lang, cited_by_count FROM r WHERE r > 15 ORDER BY cited_by_count DESC, work_id LIMIT 40)")
 def _(works):
     """The best of each language up to its quota, then the best of the rest: each quota is a top-k of its own."""
     order = (F.desc("cited_by_count"), C("work_id"))
@@ -185,7 +190,7 @@ def _(works):
     return works.where("source_count >= 2").select("work_id", F.explode(z).alias("z")).select("work_id", C("z.c").alias("course"), F.coalesce("z.i", F.lit("Unknown")).alias("institution"))
 
 
-@op("PL_18_language_audit", "works")
+@op("PL_18_language_audit", "works", sql=f"WITH {_DETECTED} SELECT lang, CASE WHEN length(abstract) < 100 THEN 'short' WHEN detected = lang THEN 'agrees' ELSE 'differs' END status, count(*) n FROM d GROUP BY 1, 2")
 def _(works):
     d = works.withColumn("detected", S.detect_language(C("abstract")))
     return d.groupBy("lang", F.when(F.length("abstract") < 100, "short").when(C("detected") == C("lang"), "agrees").otherwise("differs").alias("status")).agg(F.count(F.lit(1)).alias("n"))

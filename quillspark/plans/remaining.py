@@ -175,7 +175,12 @@ op("BK_07_dynp", "papers")(lambda papers: _detected(papers, "dynp", lambda y: [(
 op("BK_08_kernel_cpd", "papers")(lambda papers: _detected(papers, "kernel_cpd", lambda y: [(f"n={n}", KN.dynp(y, n, kernel=True)) for n in (1, 2, 3)]))
 
 
-@op("BK_04_combined_support", "papers")
+@op("BK_04_combined_support", "papers", sql="""WITH g AS (SELECT kind, year, CAST(count(*) AS DOUBLE) n, avg(price) p FROM papers GROUP BY 1, 2), v AS (SELECT 'js' m, kind, year, n v FROM g UNION ALL SELECT 'cos', kind, year, p FROM g),
+z AS (SELECT m, kind, year, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) z FROM v WINDOW w AS (PARTITION BY m, kind)), o AS (SELECT *, lag(z) OVER w a, lead(z) OVER w b FROM z WINDOW w AS (PARTITION BY m, kind ORDER BY year)),
+k AS (SELECT m, year, count(DISTINCT kind) n, avg(z) z FROM o WHERE z > 0.5 AND z > a AND z > b GROUP BY 1, 2 HAVING count(DISTINCT kind) >= 2), j AS (SELECT * FROM k WHERE m = 'js'), c AS (SELECT * FROM k WHERE m = 'cos'),
+e AS (SELECT c.year cy, min(j.year) y FROM c JOIN j ON abs(c.year - j.year) <= 1 GROUP BY 1), b AS (SELECT y, arg_max(c.n, cy) n, arg_max(c.z, cy) z FROM e JOIN c ON c.year = cy GROUP BY 1),
+u AS (SELECT j.year, j.n js_windows, j.z jz, coalesce(b.n, 0) cos_windows, coalesce(b.z, 0) cz, CASE WHEN b.n IS NULL THEN 'JS only' ELSE 'both' END support FROM j LEFT JOIN b ON b.y = j.year UNION ALL SELECT year, 0, 0, n, z, 'cosine only' FROM c WHERE year NOT IN (SELECT cy FROM e))
+SELECT year, js_windows, round(jz, 3) js_mean_z, cos_windows, round(cz, 3) cos_mean_z, support, round(jz + cz, 3) combined_z FROM u""")
 def _(papers):
     """Peaks of two measures (counts and mean prices) over their series, matched within a year: support of either or both,
     ranked by the sum of their mean z. The tables hold a row a year."""
