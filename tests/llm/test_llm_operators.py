@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillspark.llm import ann, common, exact_dedup, html_text, license_scan, mixing, near_dedup, packing, pii, quality, toxicity
+from quillspark.llm import ann, common, components, exact_dedup, html_text, license_scan, mixing, near_dedup, packing, pii, quality, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, size long, key string, salt int"
 
@@ -113,6 +113,31 @@ def test_near_dedup_odd_rows(spark):
     assert by[None].component_id is None and by[None].kept
 
 
+def test_components_of_long_paths_and_random_edges(spark):
+    r, n = random.Random(11), 1000
+    shuffled = r.sample(range(n), n)
+    adverse = [n, *range(2 * n - 1, n, -1)]  # the smallest id, then falling ids: labels alone move one node a round
+    paths = [(p[i], p[i + 1]) for p in (shuffled, adverse) for i in range(n - 1)]
+    hubs = [(3000 + i % 7, 2000 + i) for i in range(700)] + [(3000 + i, 2000 + i + 1) for i in range(3)]
+    loose = [(4000 + r.randrange(300), 4000 + r.randrange(300)) for _ in range(200)]
+    edges = [*paths, *hubs, *loose, (5000, 5000), (None, 1), (1, None), *paths[:5]]
+    label = {x: x for e in edges for x in e if x is not None}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = sorted((find(a), find(b)))
+            label[y] = x
+    ends = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(ends) and {x.node: x.label for x in got} == {x: find(x) for x in ends}
+    assert components.components(spark.createDataFrame([(7, 7)], "a long, b long")).collect() == []
+
+
 def test_posterior_floors():
     floors = near_dedup.posterior_floors(0.8, 1e-5)
     assert floors == sorted(floors) and 0 < floors[-1] < 0.8 * near_dedup.HASHES
