@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,3 +188,34 @@ def novelty(weights: DataFrame, works: DataFrame, members: DataFrame, key: str,
     d = d.groupBy("anchor", "width", "side", key).agg(F.least(kl, F.lit(clip)).alias("kl"))
     d = d.groupBy("anchor", "width").agg(F.avg(F.when(C("side") == "before", C("kl"))).alias("novelty"), F.avg(F.when(C("side") == "after", C("kl"))).alias("transience"))
     return d.withColumn("resonance", C("novelty") - C("transience"))
+
+
+def isolation(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, query_rows: int = 2_048, reference_rows: int = 16_384) -> DataFrame:
+    """key, score: mean cosine distance of each query to its ``k`` nearest reference vectors, of all of them.
+
+    Both sides are dealt into blocks of about the stated rows. A task compares one block with another in slices and gives
+    the ``k`` least distances of each query there; the least of these count. No reference vectors, no rows.
+    """
+    n_q, n_r = (max(1, -(-d.count() // rows)) for d, rows in ((queries, query_rows), (reference, reference_rows)))
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(key, vector, block(n_q).alias("qb")).withColumn("rb", every(n_r))
+    r = reference.select(vector, block(n_r).alias("rb")).withColumn("qb", every(n_q))
+
+    def unit(v):
+        x = np.array(v.tolist(), float).reshape(len(v), -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def least(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({key: a[key].head(0), "least": pd.Series(dtype=object)})
+        x, y, out = unit(a[vector]), unit(b[vector]), []
+        for at in range(0, len(x), 256):
+            d = 1 - x[at : at + 256] @ y.T
+            out += list(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d)
+        return pd.DataFrame({key: a[key], "least": out})
+
+    kind = dict(queries.dtypes)[key]
+    part = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(least, f"{key} {kind}, least array<double>")
+    best = part.groupBy(key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("least"))), 1, k).alias("d"))
+    return best.select(key, (F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")).alias("score"))

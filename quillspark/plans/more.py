@@ -290,17 +290,9 @@ def _(embeddings):
 
 @op("EM_09_isolation", "embeddings", sql="WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] v FROM embeddings), d AS (SELECT a.vec_id, 1 - list_cosine_similarity(a.v, b.v) d, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_cosine_similarity(a.v, b.v)) r FROM e a JOIN e b ON b.label = 0 AND a.label = 1) SELECT vec_id, round(avg(d), 6) score FROM d WHERE r <= 5 GROUP BY 1")
 def _(embeddings):
-    """The reference group is one label's vectors (a bounded landmark set); queries stream past it in blocks."""
-    ref = np.array([r[0] for r in embeddings.where("label = 0").orderBy("vec_id").limit(5_000).select("embedding").collect()], float)
-    ref /= np.linalg.norm(ref, axis=1, keepdims=True)
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), float).reshape(len(v), -1)
-        d = 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ ref.T
-        return pd.Series(np.sort(d, axis=1)[:, :5].mean(1))
-
-    return embeddings.where("label = 1").select("vec_id", F.round(score("embedding"), 6).alias("score"))
+    """The reference group is all vectors of one label."""
+    score = A.isolation(embeddings.where("label = 1"), embeddings.where("label = 0"), "vec_id", "embedding", 5)
+    return score.select("vec_id", F.round("score", 6).alias("score"))
 
 
 @op("EM_13_mixture_bic", "embeddings")

@@ -1,9 +1,12 @@
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import analysis as A
 from quillspark.operators import corpus as O
 from quillspark.operators import relational as R
+from quillspark.plans import more
 
 
 def test_concentration(spark):
@@ -51,3 +54,30 @@ def test_rand_index_of_trivial_labellings(spark):
     assert R.rand_index(one, "a", "b").first().ari == 1.0
     half = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 1)], "a int, b int")
     assert R.rand_index(half, "a", "b").first().ari == 1.0
+
+
+def _isolation(v, label, k=5):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return np.sort(1 - u[label == 1] @ u[label == 0].T, axis=1)[:, :k].mean(1)
+
+
+def test_isolation_sees_the_last_of_many_references(spark, tmp_path):
+    r = np.random.default_rng(4)
+    v, label = r.standard_normal((6_040, 8)).astype("float32"), np.zeros(6_040, int)
+    label[6_000:6_020] = 1
+    v[6_020:] = v[6_000:6_020] + 0.01  # each query's nearest vector has an id above 5000
+    pd.DataFrame({"vec_id": np.arange(6_040), "embedding": list(v), "label": label}).to_parquet(tmp_path / "embeddings.parquet")
+    got = {x.vec_id: x.score for x in more.Q["EM_09_isolation"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(6_000, 6_020))
+    assert np.allclose([got[i] for i in sorted(got)], _isolation(v.astype(float), label), atol=2e-6)
+
+
+def test_isolation_in_blocks(spark):
+    r = np.random.default_rng(5)
+    v, label = r.standard_normal((400, 8)), np.repeat([0, 1], [270, 130])
+    df = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    one, other = df.where("label = 1"), df.where("label = 0")
+    for rows in (1_000, 40, 3):
+        got = {x.vec_id: x.score for x in A.isolation(one, other, "vec_id", "embedding", 5, rows, rows).collect()}
+        assert np.allclose([got[i] for i in sorted(got)], _isolation(v, label))
+    assert A.isolation(one, other.limit(0), "vec_id", "embedding", 5).collect() == []
