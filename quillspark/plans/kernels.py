@@ -61,7 +61,7 @@ def permutations(embeddings: DataFrame, n: int = 200, widths: tuple[int, ...] =
     return window_members(embeddings, widths).groupBy("anchor", "width").applyInPandas(one, "anchor int, width int, observed double, null_mean double, null_std double, z_score double, p_value double")
 
 
-def bootstrap(embeddings: DataFrame, replicates: int = 20, fraction: float | None = None, widths: tuple[int, ...] = (2,)) -> DataFrame:
+def bootstrap(embeddings: DataFrame, replicates: int = 200, fraction: float | None = None, widths: tuple[int, ...] = (2,)) -> DataFrame:
     """Energy distance of resampled windows: with replacement, or ``fraction`` of the smaller side without. Replicates are rows,
     so they spread over tasks."""
     def one(key, g):
@@ -133,7 +133,7 @@ def queries() -> dict:
         "DV_C1_c2st": lambda s, d: classifier_test(e(s, d)),
         "UN_01_permutation": lambda s, d: permutations(e(s, d)),
         "UN_12_bootstrap": lambda s, d: bootstrap(e(s, d)),
-        "UN_14_subsample": lambda s, d: bootstrap(e(s, d), fraction=0.8),
+        "UN_14_subsample": lambda s, d: bootstrap(e(s, d), 20, 0.8),
         "BK_09_change_points": lambda s, d: change_points(_series(s, d), ["venue"], "year", "v"),
     }
 

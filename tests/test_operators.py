@@ -6,7 +6,7 @@ from quillspark.functions import text as T
 from quillspark.operators import analysis as A
 from quillspark.operators import corpus as O
 from quillspark.operators import relational as R
-from quillspark.plans import more
+from quillspark.plans import kernels, more
 
 
 def test_concentration(spark):
@@ -81,3 +81,10 @@ def test_isolation_in_blocks(spark):
         got = {x.vec_id: x.score for x in A.isolation(one, other, "vec_id", "embedding", 5, rows, rows).collect()}
         assert np.allclose([got[i] for i in sorted(got)], _isolation(v, label))
     assert A.isolation(one, other.limit(0), "vec_id", "embedding", 5).collect() == []
+
+
+def test_bootstrap_has_200_replicates_of_each_window(spark, tmp_path):
+    v = np.random.default_rng(6).standard_normal((60, 4)).astype("float32")
+    pd.DataFrame({"vec_id": np.arange(60), "embedding": list(v), "label": np.arange(60) % 6}).to_parquet(tmp_path / "embeddings.parquet")
+    got = kernels.queries()["UN_12_bootstrap"](spark, str(tmp_path)).toPandas().groupby(["anchor", "width"]).replicate
+    assert len(got) and (got.nunique() == 200).all() and (got.size() == 200).all()
