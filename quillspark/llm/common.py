@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of this machine only where none is set (tests, local mode)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -36,6 +38,20 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` saved with a number of its own for each row in the new column ``name``, so that rows that repeat an id, or
+    everything, can be told apart in any later job."""
+    return saved(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``most`` rows, found without counting further than that."""
     return df.limit(most + 1).count() <= most

@@ -30,7 +30,7 @@ _R = np.random.default_rng(20240607)
 _MUL = (_R.integers(0, 1 << 32, HASHES, dtype=np.uint32) | 1)[:, None]
 _ADD = _R.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
 _P = np.uint64(0x9E3779B97F4A7C15)
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SIG = pa.schema([("doc_id", pa.int64()), ("carried", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 class _Words(dict):
@@ -127,38 +127,48 @@ def similar(both, one, other, percent: int):
     return 100 * both >= percent * (one + other - both)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def identity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def signatures(docs: DataFrame, k: int, carry: str | None = None) -> DataFrame:
+    """A row for each of ``docs``: id, the carried number (null without one), and size, identity, band keys and bytes of its set."""
+
     def of(batches):
         for b in batches:
-            ids, out = b.column("doc_id").to_pylist(), []
-            for doc_id, text in zip(ids, C.text_bytes(b), strict=True):
+            out = []
+            for doc_id, carried, text in zip(b.column("doc_id").to_pylist(), b.column("carried").to_pylist(), C.text_bytes(b), strict=True):
                 s = shingles(text, k)
                 if len(s):
                     sig = signature(s)
-                    d = xxhash.xxh3_128_digest(s.tobytes())
-                    out.append((doc_id, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), band_keys(sig), short(sig)))
+                    out.append((doc_id, carried, len(s), *identity(s), band_keys(sig), short(sig)))
                 else:
-                    out.append((doc_id, 0, 0, 0, None, None))
-            yield C.rows_out(_SIG, zip(*out, strict=True) if out else [[]] * 6)
+                    out.append((doc_id, carried, 0, 0, 0, None, None))
+            yield C.rows_out(_SIG, zip(*out, strict=True) if out else [[]] * 7)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary")
+    carried = (F.col(carry) if carry else F.lit(None)).cast("long").alias("carried")
+    return docs.select(F.col("doc_id").cast("long"), "text", carried).mapInArrow(of, "doc_id long, carried long, n long, h1 long, h2 long, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cls, set (sorted 64-bit hashes as bytes) for the ids in ``wanted`` (cls), from the texts. A bounded bitmap passes over
-    nearly all other texts before any work."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(C.KeyFilter.of(wanted.select(F.xxhash64("cls").alias("h")), "h"))
-    schema = pa.schema([("cls", pa.int64()), ("set", pa.binary())])
+    """cls, set (sorted 64-bit hashes as bytes) of the classes in ``wanted`` (cls, h1, h2, n, some_id), from the texts. A bounded
+    bitmap of one id of each class passes over nearly all other texts before any work; what tells classes apart is the set."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(C.KeyFilter.of(wanted.select(F.xxhash64("some_id").alias("h")), "h"))
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
 
     def of(batches):
         for b in batches:
             b = b.filter(pa.array(bitmap.value.has(b.column("h").to_numpy())))
             if b.num_rows:
-                yield C.rows_out(schema, [b.column("doc_id"), [shingles(t, k).tobytes() for t in C.text_bytes(b)]])
+                sets = [shingles(t, k) for t in C.text_bytes(b)]
+                one, other = zip(*map(identity, sets), strict=True)
+                yield C.rows_out(schema, [one, other, list(map(len, sets)), [s.tobytes() for s in sets]])
 
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    found = ids.mapInArrow(of, "cls long, set binary")
-    return found.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("set").alias("set"))
+    ids = docs.where("doc_id is not null").select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    found = ids.mapInArrow(of, "h1 long, h2 long, n long, set binary")
+    return found.join(wanted.select("cls", "h1", "h2", "n"), ["h1", "h2", "n"]).groupBy("cls").agg(F.min("set").alias("set"))
 
 
 def _pair_links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, floors: list[int], percent: int) -> DataFrame:
@@ -287,24 +297,23 @@ def _rest_links(mixed: DataFrame, sets: DataFrame, floors: list[int], percent: i
     return full.repartition(*order).sortWithinPartitions(*order).mapInArrow(forest, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = MISS, block: int = BLOCK, carry: str | None = None) -> DataFrame:
+    """doc_id, carried, n_shingles, component for every row of ``docs`` (doc_id, text and the column that ``carry`` names).
 
-    Sets hold distinct k-word shingles of the whole lower-cased (A-Z) text, or the whole sequence when it has fewer words;
-    a text without words (or null) has none and is linked with nothing. Two documents are linked when their Jaccard
-    similarity is at least ``threshold`` (compared in whole percents); ``component_id`` is the smallest id that links
-    reach, and a document is kept if that is its own. Rows that repeat an id are one node. A row with a null id is linked
-    with nothing and kept, its component null. An empty table gives no rows; other columns are not looked at.
+    Rows, not ids, are what is linked, so rows that repeat an id with other texts are documents of their own. ``component``
+    is a number of this call that the rows of a group share; null for a row without an id or without words, which is linked
+    with nothing. Equal sets are one class, known by its 128-bit identity and size, and numbered by one of its rows.
     """
     percent, floors = round(100 * threshold), posterior_floors(threshold, miss)
-    every = C.saved(signatures(docs, k))
+    every = C.saved(signatures(docs, k, carry).withColumn("row", F.monotonically_increasing_id()))
     real = every.where("n > 0 and doc_id is not null")
-    classes = C.saved(real.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("m")).select("h1", "h2", "n", "m.*").withColumnRenamed("doc_id", "cls"))
+    alike = F.first(F.struct("bands", "sig")).alias("m")
+    classes = C.saved(real.groupBy("h1", "h2", "n").agg(F.min("row").alias("cls"), F.min("doc_id").alias("some_id"), alike).select("h1", "h2", "n", "cls", "some_id", "m.*"))
     bands = classes.select(F.explode("bands").alias("key"), "cls")
     stars = bands.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("other")).where("center < other").select("key", "center")
     buckets = C.saved(bands.join(stars, "key"))
-    active = C.saved(buckets.select("cls").distinct())
-    sigs = C.saved(classes.join(active, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("n", "sig", "bands")).alias("m")).select("cls", "m.*"))
+    active = C.saved(classes.join(buckets.select("cls").distinct(), "cls", "left_semi"))
+    sigs = active.select("cls", "n", "sig", "bands")
     sets = C.saved(_sets(docs, active, k))
     pairs = buckets.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     links = C.saved(_pair_links(pairs, sigs, sets, floors, percent))
@@ -314,9 +323,40 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float
     several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     mixed = C.saved(now.join(several, "key").join(sigs, "cls"))
     more = C.saved(_rest_links(mixed, sets, floors, percent, block))
-    # A class is a node even if rows of its set have other ids: they carry its smallest id.
     hung = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = components(hung.unionByName(more)).select(F.col("node").alias("cls"), "label")
-    owner = classes.select("h1", "h2", "n", "cls").join(final, "cls", "left").select("h1", "h2", "n", F.coalesce("label", "cls").alias("component_id"))
-    out = every.join(owner, ["h1", "h2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    owner = classes.select("h1", "h2", "n", "cls").join(final, "cls", "left").select("h1", "h2", "n", F.coalesce("label", "cls").alias("component"))
+    kept = ("doc_id", "carried", "row", F.col("n").alias("n_shingles"))
+    placed = real.join(owner, ["h1", "h2", "n"]).select(*kept, "component")
+    alone = every.where("n = 0 or doc_id is null").select(*kept, F.lit(None).cast("long").alias("component"))
+    return placed.unionByName(alone)
+
+
+def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Sets hold distinct k-word shingles of the whole lower-cased (A-Z) text, or the whole sequence when it has fewer words;
+    a text without words (or null) has none and is linked with nothing. Two documents are linked when their Jaccard
+    similarity is at least ``threshold`` (compared in whole percents); ``component_id`` is the smallest id of the rows that
+    links reach, and a row is kept if that is its own id. Rows that repeat an id are rows of their own: with one text they
+    are linked like any copies (and kept or dropped together), with different texts only their own links count. A row with
+    a null id is linked with nothing and kept, its component null. A text of any length is read whole. Ties can't arise: the
+    smallest id is one number. An empty table gives no rows; other columns are not looked at.
+    """
+    rows = C.saved(near_groups(docs, k, threshold, miss, block))
+    linked = rows.where("component is not null")
+    found = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    alone = rows.where("component is null").withColumn("component_id", F.col("doc_id"))
+    out = linked.join(found, "component").drop("component").unionByName(alone.drop("component"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` but for all of each near-duplicate group save one: that with the smallest id, of rows that repeat
+    it any one. Columns are those of ``docs``; rows without an id or words stay."""
+    row = C.unused(docs, "row")
+    numbered = C.numbered(docs, row)
+    rows = C.saved(near_groups(numbered, k, threshold, miss, block, carry=row).where("component is not null").select("component", "doc_id", "carried"))
+    stays = rows.groupBy("component").agg(F.min(F.struct("doc_id", "carried")).alias("s"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    gone = rows.join(stays, "component").where("carried <> s.carried").select(F.col("carried").alias(row))
+    return C.keep_only(numbered, C.saved(gone), row).select(*docs.columns)

@@ -105,6 +105,9 @@ class BradleyTerry:
         spread = float(np.median(s[up]) - np.median(s[down]))
         return cls(mean, scale, w, threshold, 4.0 / spread if spread > 0 else 1.0, accept)
 
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return self.score(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES)))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Rising in strength, from 0 to 1, and ``accept`` at the threshold."""
         s = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
@@ -113,27 +116,43 @@ class BradleyTerry:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **options) -> BradleyTerry:
-    """Learns from at most ``rows`` rows of ``labels`` (doc_id, quality), chosen by hash of the id; null labels are left out."""
-    some = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("long").alias("quality"))
-    some = some.orderBy(F.xxhash64("_id"), "_id", "quality").limit(rows)
-    found = _featured(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")), ["quality"]).toArrow()
+    """Learns from at most ``rows`` rows of ``labels`` (doc_id, quality), chosen by hash of the id; null labels are left out.
+    Labels or documents that repeat an id count once for each label, with the least of their features, so that what reaches the
+    driver is bounded by ``rows``. Texts of any length are read whole. An empty table, or labels of one kind only, give a model
+    that scores everything 0.5."""
+    some = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("long").alias("quality"))
+    some = some.distinct().orderBy(F.xxhash64("_id"), "_id", "quality").limit(rows)
+    found = _featured(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")), ["quality"])
+    found = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
     if not found.num_rows:
         return BradleyTerry.fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    order = np.lexsort((found.column("quality").to_numpy(), found.column("doc_id").to_numpy()))
     x = np.array(found.column("x").to_pylist())[order]
     return BradleyTerry.fit(x, found.column("quality").to_numpy()[order], **options)
 
 
 def score_quality(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     """doc_id, score for every row of ``docs`` (doc_id, text). Null text counts as empty; an empty text gets the score of
-    all-zero features. Repeated rows repeat; an empty table gives none; other columns are not looked at."""
+    all-zero features. Texts of any length are read whole; equal texts have equal scores. Repeated rows repeat; an empty table
+    gives none; other columns are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def of(batches):
         for b in batches:
-            got = [features(t) for t in C.text_bytes(b)]
-            x = np.array(got).reshape(len(got), len(FEATURES))
-            yield C.rows_out(schema, [b.column("doc_id").cast(pa.int64()), shared.value.score(x)])
+            yield C.rows_out(schema, [b.column("doc_id").cast(pa.int64()), shared.value.scores(C.text_bytes(b))])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: BradleyTerry, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``accept``, with all their columns: each row is judged by its own text, so
+    rows that repeat an id don't answer for each other. No shuffle; otherwise as ``score_quality``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def of(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(shared.value.scores(C.text_bytes(b)) >= accept))
+
+    return docs.mapInArrow(of, docs.schema)
