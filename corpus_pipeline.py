@@ -3,7 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet to the shared folder and
 reads it again as the next one's docs. All but the last return the columns of documents. Stages leave clean documents
 alone: quality drops what the classifier rejects, the dedup stages drop all but one of a group, mixing repeats or leaves
-out documents by their source's target, packing gives the pieces of sequences. Empty tables go through as empty tables.
+out documents by their source's target, packing gives the pieces of sequences.
+
+Stages judge and drop rows, not ids: rows that repeat an id with different texts are documents of their own, and of rows that
+are the same in id and text one stays. Null texts count as empty: quality judges them like any empty text; all of them, and
+empty texts, are one group of exact copies; near_dedup keeps texts without words; mixing leaves out documents without words;
+packing gives them their end mark. A row with a null id is never anyone's near copy. Texts of any length are read whole.
+Empty tables go through as empty tables; columns beyond those of documents are carried along by all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,31 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common as C
-from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.exact_dedup import drop_exact_copies
 from quillspark.llm.mixing import mix, repeated
-from quillspark.llm.near_dedup import near_dedup
+from quillspark.llm.near_dedup import drop_near_copies
 from quillspark.llm.packing import pack
-from quillspark.llm.quality import ACCEPT, fit_quality, score_quality
+from quillspark.llm.quality import accepted, fit_quality
 from quillspark.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from rows of ``labels`` that are not held out."""
     labels = C.table(spark, sf_dir, "labels").where(~C.held_out(F.col("doc_id"), 4, 2))
-    scores = C.saved(score_quality(docs, fit_quality(docs, labels)))
-    return C.keep_only(docs, scores.where(F.col("score") < ACCEPT).select("doc_id").distinct())
+    return accepted(docs, fit_quality(docs, labels))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the smallest id."""
-    found = C.saved(exact_dedup(docs))
-    return C.keep_only(docs, found.where("not kept").select("doc_id"))
+    """One document of each group of equal texts, that with the smallest id (as the tries' terminal nodes hold; only the
+    contract of op8 asks for the largest)."""
+    return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8), that with the smallest id."""
-    found = C.saved(near_dedup(docs))
-    return C.keep_only(docs, found.where("not kept").select("doc_id"))
+    """One document of each near-duplicate group, that with the smallest id. Five-word shingles, as stages take them (only the
+    contract of op7 asks for four), similarity 0.8."""
+    return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
