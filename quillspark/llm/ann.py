@@ -4,7 +4,8 @@ Vectors go to L tables of buckets floor((a . x + b) / w), M of them joined to a
 Vectors are scaled by the largest norm and given one more component so that Euclidean distance orders them as the inner
 product with a unit query does. A query visits its own bucket and then perturbed ones in the order of their estimated
 success: a fixed sequence of sets over coordinates ranked by how near the query lies to their edge. Candidates of all
-tables are reranked by the exact inner product of the original vectors.
+tables are reranked by the exact inner product of the original vectors, which is also what a bucket picks them by: products are
+summed component by component in double precision, so equal scores are equal numbers and ties go by identifier.
 
 How many values join to a key and how many buckets a query visits is chosen on a bounded sample against brute force.
 Equal vectors are one class, which stands for at most k + 1 smallest ids: no others can be in a result.
@@ -24,8 +25,8 @@ from . import common as C
 #: Rows of the sample on which the plan of the index is chosen, and queries among them.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4_000, 200
 TABLES, WIDTH = 6, 2.0
-MARGIN = 12  # classes beyond k + 1 that the exact rerank looks at
-SALT_ROWS = 20_000
+SALT_ROWS = 20_000  # stored rows of a bucket that one task holds
+VISIT_ROWS = 50_000  # queries in a block; only a split bucket sees more than one block
 _HELD = 300_000
 
 
@@ -141,19 +142,46 @@ def _top(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarra
     return q[keep], c[keep], s[keep]
 
 
+def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, summed from the first component to the last, as the columns' expression does."""
+    s = np.zeros(len(q))
+    for i in range(q.shape[1]):
+        s += q[:, i] * v[:, i]
+    return s
+
+
+def best_of(q: np.ndarray, v: np.ndarray, cls: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, class, product) of each query's ``most`` best rows of ``v``: larger product, then smaller class. Rough products
+    leave the rows that can be among them, ties of the last place included, and these are computed exactly."""
+    rough = q @ v.T
+    if rough.shape[1] > most:
+        last = np.partition(rough, -most, axis=1)[:, -most]
+        slack = 1e-12 * q.shape[1] * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max())
+        at, row = np.nonzero(rough >= (last - slack)[:, None])
+    else:
+        at, row = np.divmod(np.arange(rough.size), rough.shape[1])
+    exact = np.concatenate([inner(q[at[i : i + 100_000]], v[row[i : i + 100_000]]) for i in range(0, len(at), 100_000)])
+    return _top(at, cls[row], exact, most)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row of ``queries`` among ``vectors`` (both vec_id,
     embedding of one length), by largest inner product in double precision, ties to the smaller vec_id, the query's own id
     left out; all candidates if fewer.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part on either side, nor do rows with
-    a null id. Rows that repeat an id count once, with the least of their vectors. Empty tables give no rows. Other columns are not looked at.
+    a null id. Rows that repeat an id count once, with the least of their vectors. Scores are of the vectors as given, single or
+    double precision. Empty tables give
+    no rows. Vectors of any (one) length work. Other columns are not looked at.
     """
     spark = vectors.sparkSession
+    double = any(f.elementType.typeName() == "double" for f in (vectors.schema["embedding"].dataType, queries.schema["embedding"].dataType))
+    kind = "double" if double else "float"
 
     def clean(df):
         ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        vector = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0)).otherwise(x).cast(kind))  # -0.0 is 0.0
+        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select(F.col("vec_id").cast("long"), vector.alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     all_rows = clean(vectors)
     by = Window.partitionBy("embedding").orderBy("vec_id")
@@ -169,9 +197,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         return spark.createDataFrame([], schema)
     some = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE_ROWS).select("embedding").toArrow().column("embedding").to_pylist()
     index = spark.sparkContext.broadcast(choose(np.array(some, float), float(np.sqrt(largest)) or 1.0, k, recall))
-    best = k + 1 + MARGIN
-
-    rows = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("x", pa.list_(pa.float32()))])
+    best = k + 1  # classes: one may be the query's own
+    numbers = pa.float64() if double else pa.float32()
+    rows = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("x", pa.list_(numbers))])
 
     def dealt(column, visits):
         def of(batches):
@@ -182,49 +210,61 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                     x = vec.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     keys = index.value.probes(x.astype(float)) if visits else index.value.keys(x.astype(float))
                     take = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
-                    yield C.rows_out(rows, [keys.ravel(), part.column(column).take(take), vec.take(take).cast(pa.list_(pa.float32()))])
+                    yield C.rows_out(rows, [keys.ravel(), part.column(column).take(take), vec.take(take).cast(pa.list_(numbers))])
 
         return of
 
-    kinds = "key long, id long, x array<float>"
+    kinds = f"key long, id long, x array<{kind}>"
     stored = classes.select("cls", "embedding").mapInArrow(dealt("cls", False), kinds)
     visits = q_classes.select("q", "embedding").mapInArrow(dealt("q", True), kinds)
-    # Buckets with very many vectors are split; the queries that visit one go to each of its parts, in blocks.
+    # A bucket with very many vectors is split in parts, and its visitors in blocks; each part meets each block in a task of its
+    # own. Buckets of one part see all their visitors in a row, one batch after the other.
+    blocks = max(1, -(-q_classes.count() // VISIT_ROWS))
     sizes = stored.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("parts"))
-    heavy = C.saved(sizes.where("parts > 1"))
-    hot = C.sized(heavy)
-    stored = stored.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    visits = visits.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    both = visits.withColumn("side", F.lit(0)).unionByName(stored.withColumn("side", F.lit(1)))
+    hot = C.sized(C.saved(sizes.where("parts > 1")))
+
+    def split(df, own, all_of, n_own, n_all):
+        df = df.join(hot, "key", "left")
+        place = F.pmod(F.xxhash64("id"), F.when(F.col("parts").isNull(), 1).otherwise(n_own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.when(F.col("parts").isNull(), 1).otherwise(n_all) - 1))
+        return df.withColumn(own, place).withColumn(all_of, every).drop("parts")
+
+    stored = split(stored, "salt", "block", F.col("parts"), F.lit(blocks)).withColumn("side", F.lit(0))
+    visits = split(visits, "block", "salt", F.lit(blocks), F.col("parts")).withColumn("side", F.lit(1))
     out = pa.schema([("q", pa.int64()), ("cls", pa.int64()), ("s", pa.float64())])
+    order = ["key", "salt", "block"]
 
     def matched(batches):
         held, n = [], 0
-        for _, slices in C.runs(batches, ["key", "salt"]):
-            side = np.concatenate([s.column("side").to_numpy() for s in slices])
-            m = int((side == 0).sum())
-            if m == 0 or m == len(side):
-                continue
-            ids = np.concatenate([s.column("id").to_numpy() for s in slices])
-            x = np.concatenate([s.column("x").flatten().to_numpy() for s in slices]).reshape(len(ids), -1)
-            cls, v = ids[m:], x[m:].astype(float)
-            take = min(best, len(cls))
-            for at in range(0, m, 512):
-                q = ids[at : min(at + 512, m)]
-                s = x[at : at + len(q)].astype(float) @ v.T
-                pick = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                held.append((np.repeat(q, take), cls[pick].ravel(), np.take_along_axis(s, pick, 1).ravel()))
-                n += len(q) * take
-                if n > _HELD:
-                    held = [_top(*map(np.concatenate, zip(*held, strict=True)), best)]
-                    n = len(held[0][0])
-                    if n > _HELD // 2:
-                        yield C.rows_out(out, held.pop())
-                        n = 0
+        ids, x, now = [], [], None
+        cls = v = None
+        for (*key, side), slices in C.slices(batches, [*order, "side"]):
+            if key != now:
+                ids, x, now, v = [], [], key, None
+            for s in slices:
+                one, vec = s.column("id").to_numpy(), s.column("x").flatten().to_numpy().reshape(s.num_rows, -1)
+                if side == 0:
+                    ids.append(one)
+                    x.append(vec)
+                    continue
+                if not ids:
+                    continue
+                if v is None:
+                    cls, v = np.concatenate(ids), np.concatenate(x).astype(float)
+                for at in range(0, len(one), 512):
+                    q, c, score = best_of(vec[at : at + 512].astype(float), v, cls, best)
+                    held.append((one[at : at + 512][q], c, score))
+                    n += len(q)
+                    if n > _HELD:
+                        held = [_top(*map(np.concatenate, zip(*held, strict=True)), best)]
+                        n = len(held[0][0])
+                        if n > _HELD // 2:
+                            yield C.rows_out(out, held.pop())
+                            n = 0
         if held:
             yield C.rows_out(out, _top(*map(np.concatenate, zip(*held, strict=True)), best))
 
-    order = ["key", "salt"]
+    both = visits.unionByName(stored)
     found = both.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(matched, "q long, cls long, s double")
     near = found.groupBy("q", "cls").agg(F.max("s").alias("s"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "cls"))).where(F.col("r") <= best)

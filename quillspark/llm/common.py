@@ -138,6 +138,12 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield now, held
 
 
+def slices(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """As ``runs``, but a run is given out batch by batch, so none is held as a whole."""
+    for batch in batches:
+        yield from runs(iter([batch]), keys)
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` when divided by ``parts``; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
