@@ -1,12 +1,19 @@
 """Main text of web pages: block structure plus host suffix arrays.
 
-Pages are cut into blocks with a small tolerant parser. Blocks inside an article or main element, outside menus, forms,
-adverts and the like, are the main text whatever they repeat. The other visible blocks of a host's pages, as token
-streams joined end to end, go into suffix arrays: runs of tokens that also occur in another page of the host are
-boilerplate, and for pages that mark no main part their unique runs are what is kept.
+Pages are cut into blocks with a small tolerant parser, which also tells each block's region and slot (the path of elements and
+classes it stands in). All visible blocks of a host's pages, as token streams joined end to end, go into suffix arrays: runs of
+tokens that also occur in another page of the host are covered. What is covered is judged by where it stands:
 
-A host's pages are dealt to shards of bounded size. Runs repeated inside a shard come from its suffix array; what is left
-of hosts with several shards is compared across them by hashes of the same token windows, so no repeat is lost.
+* outside a main part, in pages that mark none: covered runs are boilerplate, unique runs are kept;
+* in a main part, in a slot whose name may mean boilerplate (share, related, notice, ...): a block covered for the most part goes;
+* elsewhere in a main part: a wholly covered block goes if its slot is wholly covered on nearly all pages of the host, pages that
+  are copies of others aside; other covered blocks are passages that articles share, and stay.
+
+Menus, forms, adverts and the like that are unique to their page can't be seen by any array; element names and unmistakable
+classes settle those.
+
+A host's pages are dealt to shards of bounded size. Runs repeated inside a shard come from its suffix array; hosts with several
+shards first exchange hashes of their token windows, and each shard is given those that another one has too.
 """
 
 from __future__ import annotations
@@ -23,9 +30,15 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RUN = 8  # tokens that count as a long substring
-SHARD_TOKENS = 1_000_000
-
-_RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "noframes"))
+SHARD_TOKENS = 600_000
+#: A page with more of its main part covered is a copy and no evidence of what a host repeats.
+COPY_SHARE = 0.5
+#: How many pages must have a slot wholly covered, and what share of those that have it, for it to be boilerplate.
+SLOT_PAGES, SLOT_SHARE = 5, 0.8
+MOSTLY = 0.8  # covered share at which a block in a doubtful slot goes
+CHROME, OPEN, MAIN, DOUBTFUL = 0, 1, 2, 3
+
+_RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "noframes"))
 _CHROME = frozenset(("nav", "footer", "aside", "form", "button", "dialog", "menu", "header", "fieldset", "label", "input"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _BLOCK = frozenset(
@@ -34,53 +47,75 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - frozenset(("body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "option", "optgroup"))
 #: Elements that a start tag of the same group closes, and where the search stops.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
+#: Class and id names that mean boilerplate anywhere, and such that mean it outside a main part only.
 _NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|masthead|site-header|page-header|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|comments?|comment-\w+|disqus|reply|replies|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip-link)(?:$|[\s_-])"
+    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor(?:ed|s)?|promo|sidebar|side-bar|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|cookies?|gdpr|popup|modal|newsletter|comments|comment-\w+|disqus|pagination|skip-link)(?:$|[\s_-])"
+)
+_MAYBE = re.compile(
+    r"(?i)(?:^|[\s_-])(?:nav\w*|menu\w*|banner|consent|notice|notification|alert|overlay|subscri\w*|sign-?up|login|comment|reply|replies|share|sharing|social|related|recommend\w*|widget|pager|toolbar|promo\w*|sponsor\w*)(?:$|[\s_-])"
 )
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar"))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+(?:>|\Z)", re.S)
+# A quote opens a value only right after an equals sign; anywhere else it is a character like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)*+(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _PAGE_HEADER = re.compile(r"(?i)(?:^|[\s_-])header(?:$|[\s_-])")
-_MAIN = re.compile(r"(?i)\s(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b)")
-_ATTR = re.compile(r"\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 
 
-def _is_chrome(name: str, tag: str, in_main: bool) -> bool:
-    """Whether an element is none of the main text by its name or its attributes. A header inside the article is its title."""
-    if name in _CHROME and not (name == "header" and in_main):
-        return True
-    if " " not in tag and "\n" not in tag and "\t" not in tag:
-        return False
-    for key, *values in _ATTR.findall(tag):
-        value, key = "".join(values), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in _ROLES or key in ("class", "id") and name not in ("body", "html", "article", "main") and (_NAMES.search(value) or not in_main and _PAGE_HEADER.search(value)):
-            return True
-    return False
+def _attributes(tag: str) -> dict[str, str]:
+    """The attributes that tell a block's region, lower-cased names; the first of a name counts."""
+    out: dict[str, str] = {}
+    for key, *values in _ATTR.findall(tag, _NAME.match(tag).end()):
+        key = key.lower()
+        if key in ("class", "id", "role", "hidden", "aria-hidden", "itemprop"):
+            out.setdefault(key, "".join(values))
+    return out
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(region, text) of each non-empty block in page order: 2 in the main part, 1 outside any, 0 in menus and the like.
+def _region(name: str, attributes: dict[str, str], now: int) -> int:
+    """Region of an element's own blocks inside region ``now``. A header inside the article is its title."""
+    if now == CHROME:
+        return CHROME
+    in_main = now != OPEN
+    if name in _CHROME and not (name == "header" and in_main):
+        return CHROME
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES:
+        return CHROME
+    main = name in ("article", "main") or attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower()
+    if name not in ("body", "html", "article", "main"):
+        for value in (attributes.get("class", ""), attributes.get("id", "")):
+            if not value:
+                continue
+            if _NAMES.search(value) or not in_main and not main and (_PAGE_HEADER.search(value) or _MAYBE.search(value)):
+                return CHROME
+            if in_main and _MAYBE.search(value):
+                return DOUBTFUL
+    return MAIN if main and now == OPEN else now
+
+
+def blocks(page: str) -> list[tuple[int, str, str]]:
+    """(region, slot, text) of each non-empty block in page order. The slot is the path of block elements with their classes.
 
     White space inside a block is one space, character references are decoded. Script, style, comments and other unseen
     content is no block at all. Unclosed and stray tags are taken as browsers mostly do; a cut-off page ends where it ends.
     """
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in chrome, in main
-    chrome = main = False
+    stack: list[tuple[str, int, str]] = []  # name, region, slot
+    region, slot = OPEN, ""
 
     def end() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((0 if chrome else 2 if main else 1, text))
+                out.append((region, slot, text))
             parts.clear()
 
     def back_to(n: int) -> None:
-        nonlocal chrome, main
+        nonlocal region, slot
         if n < len(stack):
             del stack[n:]
-            chrome, main = stack[-1][1:] if stack else (False, False)
+            region, slot = stack[-1][1:] if stack else (OPEN, "")
 
     at = 0
     while True:
@@ -127,13 +162,14 @@ def blocks(page: str) -> list[tuple[int, str]]:
                         break
         if name in _VOID or tag.endswith("/>") and name not in _BLOCK:
             continue
-        in_main = main or name in ("article", "main") or bool(_MAIN.search(tag))
-        bad = chrome or _is_chrome(name, tag, main)
-        if name in _BLOCK or bad and not chrome:  # inline elements matter only if they hide something
+        attributes = _attributes(tag) if "=" in tag or " " in tag else {}
+        own = _region(name, attributes, region)
+        if name in _BLOCK or own != region:  # inline elements matter only if they change the region
             if name not in _BLOCK:
                 end()
-            stack.append((name, bad, in_main))
-            chrome, main = bad, in_main
+            slot = f"{slot}/{name}.{attributes['class']}" if attributes.get("class") else f"{slot}/{name}"
+            stack.append((name, own, slot))
+            region = own
     end()
     return out
 
@@ -144,25 +180,6 @@ def host_of(url: str | None) -> str:
     return m[1].lower().removeprefix("www.") if m else ""
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("marked", pa.bool_()), ("main", pa.string()), ("other", pa.list_(pa.string())), ("chrome", pa.list_(pa.bool_())), ("tokens", pa.int64())])
-
-
-def parsed(pages: DataFrame) -> DataFrame:
-    """A row for each page: its main text if it marks a main part, and its other visible blocks."""
-
-    def of(batches):
-        for b in batches:
-            out = []
-            for page_id, url, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), C.texts(b, "html"), strict=True):
-                found = blocks(page)
-                main = [t for r, t in found if r == 2]
-                rest = [(t, r == 0) for r, t in found if r != 2]
-                out.append((page_id, url, host_of(url), bool(main), "\n".join(main), [t for t, _ in rest], [c for _, c in rest], sum(t.count(" ") + 1 for t, _ in rest)))
-            yield C.rows_out(_PARSED, zip(*out, strict=True) if out else [[]] * 8)
-
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(of, "page_id long, url string, host string, marked boolean, main string, other array<string>, chrome array<boolean>, tokens long")
-
-
 def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
     """Which positions lie in a run of ``run`` or more tokens that also occurs in another page.
 
@@ -205,77 +222,188 @@ def _window_hashes(h: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def _covers(pages: DataFrame, run: int, shard_tokens: int) -> DataFrame:
-    """row, at: the covered token positions' bit strings of pages with other blocks (row: key, marks: list of positions)."""
-    hosts = pages.groupBy("host").agg(F.sum("tokens").alias("n")).select("host", F.ceil(F.col("n") / F.lit(shard_tokens)).cast("int").alias("shards")).where("shards > 1")
-    dealt = pages.join(C.sized(C.saved(hosts)), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    dealt = dealt.select("row", "host", "shards", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"), F.array_join("other", " ").alias("text"))
-    found = pa.schema([("row", pa.int64()), ("host", pa.string()), ("shard", pa.int32()), ("at", pa.int64()), ("key", pa.int64())])
-
-    def local(batches):
-        for (host, shard), slices in C.runs(batches, ["host", "shard"]):
-            rows = np.concatenate([s.column("row").to_numpy() for s in slices])
-            words = [t.split(" ") for s in slices for t in s.column("text").to_pylist()]
-            sizes = np.array([len(w) for w in words])
-            number: dict[str, int] = {}
-            tokens = np.fromiter((number.setdefault(x, len(number)) for w in words for x in w), np.int64, sizes.sum())
-            page = np.repeat(np.arange(len(rows)), sizes)
-            hit = np.flatnonzero(repeated_runs(tokens, page, run))
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            out = [(rows[page[hit]], hit - first[page[hit]], np.zeros(len(hit), np.int64))]
-            if slices[0].column("shards")[0].as_py() > 1:
-                hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in number], np.uint64).astype(np.int64)[tokens]
-                for i, row in enumerate(rows):
-                    if sizes[i] >= run:
-                        keys = _window_hashes(hashes[first[i] : first[i + 1]], run)
-                        out.append((np.full(len(keys), row), np.arange(len(keys)), keys))
-            row, at, key = map(np.concatenate, zip(*out, strict=True))
-            for a in range(0, len(row), 100_000):
-                n = len(row[a : a + 100_000])
-                yield C.rows_out(found, [row[a : a + n], [host] * n, [shard] * n, at[a : a + n], key[a : a + n]])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("regions", pa.list_(pa.int8())), ("slots", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("tokens", pa.int64())])
+_PARSED_KIND = "page_id long, url string, host string, regions array<byte>, slots array<long>, texts array<string>, tokens long"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """A row for each page: its visible blocks with their regions and (hashed) slots."""
 
+    def of(batches):
+        for b in batches:
+            out = []
+            for page_id, url, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), C.texts(b, "html"), strict=True):
+                found = blocks(page)
+                out.append((page_id, url, host_of(url), [r for r, _, _ in found], [xxhash.xxh3_64_intdigest(x) - (1 << 63) for _, x, _ in found], [t for _, _, t in found], sum(t.count(" ") + 1 for _, _, t in found)))
+            yield C.rows_out(_PARSED, zip(*out, strict=True) if out else [[]] * 7)
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(of, _PARSED_KIND)
+
+
+class _Shard:
+    """The pages of one shard as one stream of numbered tokens."""
+
+    def __init__(self, slices: list[pa.RecordBatch]):
+        self.rows = np.concatenate([s.column("row").to_numpy() for s in slices])
+        self.texts = [t for s in slices for t in s.column("texts").to_pylist()]
+        self.number: dict[str, int] = {}
+        number = self.number
+        words = [x.split(" ") for texts in self.texts for x in texts]
+        self.lengths = np.array([len(w) for w in words], np.int64)  # tokens of each block
+        self.tokens = np.fromiter((number.setdefault(x, len(number)) for w in words for x in w), np.int64, int(self.lengths.sum()))
+        n_blocks = np.array([len(t) for t in self.texts], np.int64)
+        self.block_end = np.cumsum(n_blocks)
+        self.block_page = np.repeat(np.arange(len(self.texts)), n_blocks)
+        self.page = np.repeat(self.block_page, self.lengths)
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)])  # where each block begins in the stream
+
+    def windows(self, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of ``run`` tokens that lie in one page, and where they begin."""
+        n = len(self.tokens) - run + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = np.array([xxhash.xxh3_64_intdigest(x) for x in self.number], np.uint64).astype(np.int64)[self.tokens]
+        at = np.flatnonzero(self.page[:n] == self.page[run - 1 :])
+        return _window_hashes(h, run)[at], at
+
+
+def _covers(every: DataFrame, run: int, shard_tokens: int) -> DataFrame:
+    """row, counts (covered tokens of each block) and spans (begin and end of each covered run in the page's stream)."""
+    hosts = every.groupBy("host").agg(F.sum("tokens").alias("n")).select("host", F.ceil(F.col("n") / F.lit(shard_tokens)).cast("int").alias("shards")).where("shards > 1")
+    split = C.saved(hosts)
+    dealt = every.where("tokens > 0").join(C.sized(split), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    dealt = dealt.select("host", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"), "shards", "row", "texts")
     order = ["host", "shard"]
-    marks = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(local, "row long, host string, shard int, at long, key long")
-    marks = C.saved(marks)
-    across = marks.where("key <> 0").groupBy("host", "key").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).where("low < high").select("host", "key")
-    more = marks.where("key <> 0").join(across, ["host", "key"]).select("row", F.explode(F.sequence(F.col("at"), F.col("at") + run - 1)).alias("at"))
-    return marks.where("key = 0").select("row", "at").unionByName(more).groupBy("row").agg(F.collect_set("at").alias("at"))
+    key_schema = pa.schema([("host", pa.string()), ("shard", pa.int32()), ("key", pa.int64())])
+
+    def keyed(batches):
+        for (host, shard), slices in C.runs(batches, order):
+            keys = np.unique(_Shard(slices).windows(run)[0])
+            for a in range(0, len(keys), 100_000):
+                part = keys[a : a + 100_000]
+                yield C.rows_out(key_schema, [[host] * len(part), [shard] * len(part), part])
+
+    several = dealt.where("shards > 1").drop("shards").repartition(*order).sortWithinPartitions(*order)
+    keys = several.mapInArrow(keyed, "host string, shard int, key long")
+    shared = keys.groupBy("host", "key").agg(F.collect_set("shard").alias("among")).where(F.size("among") > 1)  # at most a host's shards
+    shared = shared.select("host", F.explode("among").alias("shard"), "key").withColumn("side", F.lit(0)).withColumn("row", F.lit(None).cast("long")).withColumn("texts", F.lit(None).cast("array<string>"))
+    both = dealt.drop("shards").withColumn("side", F.lit(1)).withColumn("key", F.lit(None).cast("long")).unionByName(shared)
+    found = pa.schema([("row", pa.int64()), ("counts", pa.list_(pa.int32())), ("spans", pa.list_(pa.int32()))])
+
+    def covered(batches):
+        for _, slices in C.runs(batches, order):
+            keys = [s.column("key").filter(s.column("key").is_valid()).to_numpy() for s in slices]
+            pages = [s for s in (s.filter(s.column("row").is_valid()) for s in slices) if s.num_rows]
+            if not pages:
+                continue
+            x = _Shard(pages)
+            hit = repeated_runs(x.tokens, x.page, run)
+            keys = np.concatenate(keys)
+            if len(keys):
+                hashes, at = x.windows(run)
+                more = np.zeros(len(hit) + 1, np.int64)
+                at = at[np.isin(hashes, keys)]
+                np.add.at(more, at, 1)
+                np.add.at(more, at + run, -1)
+                hit |= np.cumsum(more)[:-1] > 0
+            counts = np.diff(np.concatenate([[0], np.cumsum(hit)])[x.first])
+            page_first = x.first[np.concatenate([[0], x.block_end])]
+            out = []
+            for i, row in enumerate(x.rows):
+                a, z = page_first[i], page_first[i + 1]
+                b0, b1 = (x.block_end[i - 1] if i else 0), x.block_end[i]
+                mine = hit[a:z]
+                if mine.any():
+                    step = np.diff(np.concatenate([[0], mine.astype(np.int8), [0]]))
+                    spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).ravel()
+                    out.append((row, counts[b0:b1].astype(np.int32), spans.astype(np.int32)))
+            if out:
+                yield C.rows_out(found, zip(*out, strict=True))
+
+    return both.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(covered, "row long, counts array<int>, spans array<int>")
+
+
+def _template_blocks(every: DataFrame, covers: DataFrame) -> DataFrame:
+    """row, gone: the main blocks of each page (by number) that are wholly covered and stand in a slot that the host repeats."""
+    sizes = F.transform("texts", lambda t: F.size(F.split(t, " ")))
+    x = every.join(covers.select("row", "counts"), "row").withColumn("sizes", sizes)
+    x = x.withColumn("b", F.arrays_zip("regions", "slots", "counts", "sizes")).drop("texts", "spans")
+    main = F.filter("b", lambda z: z["regions"] == MAIN)
+    total = lambda name: F.aggregate(main, F.lit(0), lambda s, z: s + z[name])
+    x = x.withColumn("own", total("counts") < COPY_SHARE * total("sizes"))
+    flat = x.select("row", "host", "own", F.posexplode("b").alias("i", "z")).where(F.col("z.regions") == MAIN)
+    whole = F.col("z.counts") == F.col("z.sizes")
+    flat = flat.where("own").select("row", "host", "i", F.col("z.slots").alias("slot"), whole.alias("whole"))
+    # Pages without any covered run have the slot too, but only slots covered somewhere are asked about.
+    asked = flat.where("whole").select("host", "slot").distinct()
+    bare = every.join(covers.select("row"), "row", "left_anti").select("row", "host", F.explode(F.arrays_zip("regions", "slots")).alias("z")).where(F.col("z.regions") == MAIN)
+    seen = flat.select("row", "host", "slot", "whole").unionByName(bare.select("row", "host", F.col("z.slots").alias("slot"), F.lit(False).alias("whole")))
+    by_page = seen.groupBy("host", "slot", "row").agg(F.bool_and("whole").alias("whole"))
+    slots = by_page.groupBy("host", "slot").agg(F.count(F.when(F.col("whole"), 1)).alias("n"), F.count(F.lit(1)).alias("pages"))
+    slots = slots.join(asked, ["host", "slot"], "left_semi").where((F.col("n") >= SLOT_PAGES) & (F.col("n") >= SLOT_SHARE * F.col("pages"))).select("host", "slot")
+    return flat.where("whole").join(slots, ["host", "slot"], "left_semi").groupBy("row").agg(F.collect_set("i").alias("gone"))
 
 
 def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """page_id, url, text, n_chars, n_boilerplate for every row of ``pages`` (page_id, url, html).
 
-    Text: blocks of the main part in page order, one line each. Pages that mark none give their blocks outside menus and the
-    like, without runs of ``run`` or more tokens found in another page of the host; what unique tokens a block has left stay
-    in its line. ``n_boilerplate`` counts the tokens so removed. Null or empty html gives an empty text; pages without a
-    host share one group. Repeated rows repeat (and so are boilerplate to each other where no main part is marked). An
-    empty table gives no rows; other columns are not looked at.
+    Text: blocks of the main part in page order, one line each, without those that the host's suffix arrays show to be
+    boilerplate (see above). Pages that mark no main part give their blocks outside menus and the like, without runs of ``run``
+    or more tokens found in another page of the host; what unique tokens a block has left stay in its line. ``n_boilerplate``
+    counts the tokens of covered runs outside main parts and of the blocks that arrays took out. Null or empty html gives an
+    empty text; pages without a host share one group. Pages of any length are read whole; one page is never split over shards.
+    Repeated rows repeat (and so are boilerplate to each other where no main part is marked); rows that repeat a page_id are
+    pages of their own. An empty table gives no rows; other columns are not looked at.
     """
     spark = pages.sparkSession
     path = f"{C.shared_dir(spark).rstrip('/')}/tables/pages-{C.uuid.uuid4().hex}"
     parsed(pages).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     every = spark.read.parquet(path)
-    done = every.where("marked").select("page_id", "url", F.col("main").alias("text"), F.lit(0).cast("long").alias("n_boilerplate"))
-    covers = _covers(every.where("tokens > 0").select("row", "host", "tokens", "other"), run, shard_tokens)
-    open_pages = every.where("not marked").select("row", "page_id", "url", "other", "chrome").join(covers, "row", "left")
+    covers = C.saved(_covers(every, run, shard_tokens))
+    gone = C.saved(_template_blocks(every, covers))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_boilerplate", pa.int64())])
 
     def cleaned(batches):
         for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("regions", "texts", "counts", "spans", "gone")]
             texts, removed = [], []
-            for other, chrome, at in zip(b.column("other").to_pylist(), b.column("chrome").to_pylist(), b.column("at").to_pylist(), strict=True):
-                gone, first, lines, n = set(at or ()), 0, [], 0
-                for block, bad in zip(other, chrome, strict=True):
-                    words = block.split(" ")
-                    keep = [w for i, w in enumerate(words) if first + i not in gone]
-                    first += len(words)
-                    if not bad:
-                        n += len(words) - len(keep)
-                        if keep:
-                            lines.append(" ".join(keep))
-                texts.append("\n".join(lines))
+            for regions, blocks_, counts, spans, drop in zip(*columns, strict=True):
+                text, n = _cleaned(regions, blocks_, counts, spans, set(drop or ()))
+                texts.append(text)
                 removed.append(n)
             yield C.rows_out(schema, [b.column("page_id"), b.column("url"), texts, removed])
 
-    rest = open_pages.select("page_id", "url", "other", "chrome", "at").mapInArrow(cleaned, "page_id long, url string, text string, n_boilerplate long")
-    return done.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
+    full = every.join(covers, "row", "left").join(gone, "row", "left").select("page_id", "url", "regions", "texts", "counts", "spans", "gone")
+    done = full.mapInArrow(cleaned, "page_id long, url string, text string, n_boilerplate long")
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
+
+
+def _cleaned(regions: list[int], texts: list[str], counts: list[int] | None, spans: list[int] | None, gone: set[int]) -> tuple[str, int]:
+    """(text, boilerplate tokens that the arrays found) of one page."""
+    marked = any(r in (MAIN, DOUBTFUL) for r in regions)
+    counts = counts or [0] * len(texts)
+    lines, n, first, at = [], 0, 0, 0
+    spans = spans or []
+    for i, (region, text) in enumerate(zip(regions, texts, strict=True)):
+        size = text.count(" ") + 1
+        if region == CHROME or region == OPEN and marked:
+            n += counts[i]
+        elif region == DOUBTFUL and counts[i] >= MOSTLY * size or i in gone:
+            n += size
+        elif region == OPEN and counts[i]:
+            keep = np.ones(size, bool)
+            while at < len(spans) and spans[at + 1] <= first:
+                at += 2
+            k = at
+            while k < len(spans) and spans[k] < first + size:
+                keep[max(0, spans[k] - first) : spans[k + 1] - first] = False
+                k += 2
+            words = text.split(" ")
+            n += size - int(keep.sum())
+            left = [w for w, ok in zip(words, keep, strict=True) if ok]
+            if left:
+                lines.append(" ".join(left))
+        else:
+            lines.append(text)
+        first += size
+    return "\n".join(lines), n

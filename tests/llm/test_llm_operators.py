@@ -353,10 +353,13 @@ def test_html_blocks():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="nav-open"><nav><ul><li>Menu</ul></nav>
     <div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>One<br>two <p>Three &lt;x&gt;&nbsp;y<div class="comments">Nice</div><aside>See also</aside><ul><li>a<li>b</ul>tail<!-- c --></article>
     <form>Mail <input></form><footer>&copy; me</footer></body></html>"""
-    main = [t for r, t in html_text.blocks(page) if r == 2]
+    main = [t for r, _, t in html_text.blocks(page) if r == html_text.MAIN]
     assert main == ["Head & line", "One two", "Three <x> y", "a", "b", "tail"]
-    assert html_text.blocks("<article><p>cut off in a <b>tag <a href='x") == [(2, "cut off in a tag")]
-    assert html_text.blocks("") == [] and html_text.blocks("plain < text") == [(1, "plain < text")]
+    assert html_text.blocks("<article><p>cut off in a <b>tag <a href='x") == [(2, "/article/p", "cut off in a tag")]
+    assert html_text.blocks("") == [] and html_text.blocks("plain < text") == [(1, "", "plain < text")]
+    kept = "<article><p class=it's>Hello world</p><p>More <math><mi>x</mi></math></p><object>fall back</object><div class='share price'>up</div><div class=\"related work\">prior</div></article>"
+    assert [t for r, _, t in html_text.blocks(kept) if r] == ["Hello world", "More x", "fall back", "up", "prior"]
+    assert html_text.blocks("<div title=\"x class='ad' > y\">t</div>") == [(1, "/div", "t")]
 
 
 def brute_runs(pages, run):
@@ -394,6 +397,72 @@ def test_html_without_main_part(spark, shard):
         assert got[i].text == f"{i * 17 + 3} own words number {i} of page {i * 7} {i * 11} {i * 13}" and got[i].n_boilerplate == 12 and got[i].n_chars == len(got[i].text)
 
 
+def brute_extract(pages, run):
+    """The definition, page against page, with plain sets of token windows."""
+    parsed = [(html_text.host_of(u), html_text.blocks(h or "")) for _, u, h in pages]
+    where = {}
+    for n, (host, found) in enumerate(parsed):
+        t = [w for _, _, x in found for w in x.split(" ")]
+        for i in range(len(t) - run + 1):
+            where.setdefault((host, *t[i : i + run]), set()).add(n)
+    hits = []
+    for host, found in parsed:
+        t = [w for _, _, x in found for w in x.split(" ")]
+        hit = [False] * len(t)
+        for i in range(len(t) - run + 1):
+            if len(where[host, *t[i : i + run]]) > 1:
+                hit[i : i + run] = [True] * run
+        per, at = [], 0
+        for _, _, x in found:
+            n = len(x.split(" "))
+            per.append(hit[at : at + n])
+            at += n
+        hits.append(per)
+    own, slots = [], {}
+    for n, (host, found) in enumerate(parsed):
+        main = [(f, h) for f, h in zip(found, hits[n], strict=True) if f[0] == html_text.MAIN]
+        own.append(sum(map(sum, (h for _, h in main))) < html_text.COPY_SHARE * sum(len(h) for _, h in main))
+        if own[n]:
+            for slot in {f[1] for f, _ in main}:
+                whole = all(all(h) for f, h in main if f[1] == slot)
+                slots.setdefault((host, slot), []).append(whole)
+    out = []
+    for n, (host, found) in enumerate(parsed):
+        marked, lines = any(f[0] >= html_text.MAIN for f in found), []
+        for (region, slot, text), hit in zip(found, hits[n], strict=True):
+            votes = slots.get((host, slot), [])
+            template = region == html_text.MAIN and all(hit) and own[n] and sum(votes) >= max(html_text.SLOT_PAGES, html_text.SLOT_SHARE * len(votes))
+            if region == html_text.CHROME or region == html_text.OPEN and marked or template or region == html_text.DOUBTFUL and sum(hit) >= html_text.MOSTLY * len(hit):
+                continue
+            line = " ".join(w for w, h in zip(text.split(" "), hit, strict=True) if not h or region != html_text.OPEN)
+            if line:
+                lines.append(line)
+        out.append("\n".join(lines))
+    return out
+
+
+@pytest.mark.parametrize("shard", [1_000_000, 90])
+def test_html_extraction_matches_brute_force(spark, shard):
+    r = random.Random(9)
+    say = lambda n: " ".join(f"w{r.randrange(4000)}" for _ in range(n))
+    notice, footer, shared, news = say(12), say(10), say(15), say(9)
+    pages = []
+    for i in range(16):  # a notice in every article, a passage that some share, doubtful blocks with the same or their own text
+        related = news if i % 2 else say(9)
+        body = f"<h1>{say(5)}</h1><p>{say(60)}</p>{f'<p>{shared}</p>' if i % 3 == 0 else ''}<div class='box'>{notice}</div><div class='related'>{related}</div>"
+        pages.append((i, "http://a.example/x", f"<nav>{say(3)}</nav><article>{body}</article><footer>{footer}</footer>"))
+    for i in range(8):  # copies of one article, and pages without a main part
+        pages.append((20 + i, "http://b.example/x", f"<article><h1>{notice}</h1><p>{shared} {footer}</p></article>"))
+        pages.append((40 + i, "http://c.example/x", f"<div><p>{footer}</p><p>{say(4)} {notice} {say(6)}</p></div>"))
+    pages += [(60, None, "<p>" + say(3000) + "</p>"), (61, None, ""), (62, None, None), (7, "http://a.example/x", pages[7][2]), (7, "http://a.example/x", pages[7][2])]
+    d = spark.createDataFrame([(*p, "k", 5) for p in pages], "page_id long, url string, html string, host string, row int")
+    got = sorted((x.page_id, x.text) for x in html_text.extract(d, shard_tokens=shard).collect())
+    want = brute_extract(pages, html_text.RUN)
+    assert got == sorted((p[0], t) for p, t in zip(pages, want, strict=True))
+    by_id = dict(got)
+    assert notice not in by_id[3] and shared in by_id[3] and news not in by_id[3] and "\n" in by_id[2] and by_id[20].startswith(notice)
+
+
 # ---- licenses
 
 
