@@ -49,8 +49,9 @@ class Encoder:
     """Ids by the tokenizer file at ``path``.
 
     Texts of common characters go through tiktoken's encoder over the same vocabulary (ids of this file rank its merges),
-    which gives the same ids four times as fast; this is checked on a probe when the file is loaded. All other texts, and
-    all texts if the check fails, go through the tokenizers library itself.
+    which gives the same ids four times as fast; this is checked on a probe when the file is loaded. All other texts, those
+    that hold a special token's text (one id, as the library has it), and all texts if the check fails, go through the
+    tokenizers library itself.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,28 +63,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         letters = _byte_letters()
         with open(path) as f:
-            vocab = json.load(f)["model"]["vocab"]
+            model = json.load(f)
+        vocab = model["model"]["vocab"]
+        added = [x["content"] for x in model.get("added_tokens", ())]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.strings = {i: bytes(letters[c] for c in word) for word, i in vocab.items() if all(c in letters for c in word)}
         self.fast = None
         try:
             import tiktoken
 
-            self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks={b: i for i, b in self.strings.items() if b != b"<|endoftext|>"}, special_tokens={})
-            probe = "It's 12.5% off!! Ünïcode d'été, naïve  spaces\n\n\ttabs-and_signs |a|b| ¡Holaɏ don't we'LL ### 2024-01-02 <|endoftext|> x" * 3
+            self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks={b: i for i, b in self.strings.items() if b.decode("utf-8", "replace") not in added}, special_tokens={})
+            probe = "It's 12.5% off!! Ünïcode d'été, naïve  spaces\n\n\ttabs-and_signs |a|b| ¡Holaɏ don't we'LL ### 2024-01-02 <| x" * 3
             if self.fast.encode_ordinary(probe) != self.exact.encode(probe, add_special_tokens=False).ids:
                 self.fast = None
         except (ImportError, ValueError, KeyError):
             self.fast = None
-        ends = np.zeros(max(self.strings) + 1, bool)
+        ends = np.zeros(1 + max(max(self.strings), self.exact.get_vocab_size(with_added_tokens=True), *(x["id"] for x in model.get("added_tokens", ()))), bool)
         for i, s in self.strings.items():
             ends[i] = s.rstrip(b" \"')")[-1:] in (b".", b"!", b"?", b"\n")
         self.ends = ends
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and _PLAIN.fullmatch(text):
+        if self.fast is not None and _PLAIN.fullmatch(text) and not self.special.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -1,8 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Presence of words, word pairs and pairs with one word between, hashed to 2**bits slots. FTRL-proximal gives every
-coordinate its own rate and L1 leaves few non-zero weights, which are what scoring tasks get. Training reads a bounded
-sample of labelled rows, in one task that goes over it row by row as FTRL does; scoring reads every whole text.
+coordinate its own rate and L1 leaves few non-zero weights, which are what scoring tasks get. Training reads a sample of
+labelled rows that is bounded in rows and in features, in one task that goes over it row by row as FTRL does; L1 is chosen
+among a few values by the loss on a fifth of that sample. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ BITS = 20
 #: NEGATIVES of label 0 for each of label 1.
 SAMPLE_ROWS = {1: 5_000, 0: 9_000}
 NEGATIVES = 2
+#: Features (4 bytes each) of all training rows together; rows of whole texts are taken in order of the hash while they fit.
+SAMPLE_SLOTS = 60_000_000
+#: Values of L1 to choose from, and how often each goes over its part of the sample.
+L1, TRIAL_EPOCHS = (1.0, 2.0, 4.0, 8.0, 15.0), 2
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -73,12 +78,41 @@ class Ftrl:
         return at, self.weights(at)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE_ROWS, epochs: int = 6, bits: int = BITS, seed: int = 5, **rates) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, weights) that are not 0. L1 is a sixtieth of the toxic rows, 1 to 15: with few rows a word is seen few times. Learns from ``labels`` (doc_id, toxic) joined to ``docs``; null labels are left out.
-
+def _learned(rows: np.ndarray, at: list, label: np.ndarray, hashes: np.ndarray, epochs: int, seed: int, bits: int, **rates) -> Ftrl:
+    """A model that went over ``rows`` ``epochs`` times, each time in a seeded order."""
+    model = Ftrl(bits, **rates)
+    for e in range(epochs):
+        for i in rows[np.argsort(C.mixed(hashes[rows] + np.int64(seed + e)), kind="stable")]:
+            model.learn(np.concatenate([[0], at[i]]), int(label[i]))
+    return model
+
+
+def choose_l1(rows: np.ndarray, at: list, label: np.ndarray, hashes: np.ndarray, seed: int, bits: int) -> float:
+    """The value of L1 with the least logistic loss on a fifth of ``rows``, learned on the others; the largest of equal ones."""
+    apart = C.mixed(hashes[rows] + np.int64(seed + 1000)) % 5 == 0
+    if not apart.any() or len(np.unique(label[rows[~apart]])) < 2:
+        return L1[0]
+    best = (float("inf"), L1[0])
+    for l1 in L1:
+        model = _learned(rows[~apart], at, label, hashes, TRIAL_EPOCHS, seed, bits, l1=l1)
+        loss = 0.0
+        for i in rows[apart]:
+            s = float(np.clip(model.weights(np.concatenate([[0], at[i]])).sum(), -30, 30))
+            loss += np.log1p(np.exp(-s if label[i] else s))
+        if loss <= best[0]:
+            best = (loss, l1)
+    return best[1]
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE_ROWS, most_slots: int = SAMPLE_SLOTS, epochs: int = 6, bits: int = BITS, seed: int = 5, **rates) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, weights) that are not 0, learned from ``labels`` (doc_id, toxic; other values and nulls are left out) joined to
+    ``docs``. L1 is chosen on the sample unless given.
+
+    The sample: at most ``sample`` rows of each label by hash of the id, and of those as many whole texts, in that order, as
+    have ``most_slots`` features together. Rows that repeat id and label count once, with the least of their feature lists.
     Without any labelled row there are no weights and every score is 0.5.
     """
-    some = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    some = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     some = [some.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in sample.items()]
     some = some[0].unionByName(some[1])
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("at", pa.list_(pa.int32()))])
@@ -88,32 +122,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SA
             yield C.rows_out(schema, [b.column("doc_id").cast(pa.int64()), b.column("toxic").cast(pa.int32()), [np.unique(slots(t, bits)).astype(np.int32) for t in C.text_bytes(b)]])
 
     def trained(batches):
-        ids, label, at = [], [], []
+        ids, label, at, held, last = [], [], [], 0, None
         for b in batches:
-            ids += b.column("doc_id").to_pylist()
-            label += b.column("toxic").to_pylist()
-            at += [x.values.to_numpy().astype(np.int32) for x in b.column("at")]
+            for doc_id, toxic, x in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("at"), strict=True):
+                if (doc_id, toxic) == last or held + len(x) > most_slots:
+                    continue
+                last, held = (doc_id, toxic), held + len(x)
+                ids.append(doc_id)
+                label.append(toxic)
+                at.append(x.values.to_numpy().astype(np.int32))
         label = np.array(label, int)
         hashes = C.mixed(np.array(ids, np.int64))
         no = np.flatnonzero(label == 0)
         no = no[np.argsort(hashes[no], kind="stable")][: max(1, NEGATIVES * int(label.sum()))]
         used = np.sort(np.concatenate([np.flatnonzero(label == 1), no]))
-        model = Ftrl(bits, **({"l1": min(15.0, max(1.0, label.sum() / 60))} | rates))
-        for e in range(epochs):
-            for i in used[np.argsort(C.mixed(hashes[used] + np.int64(seed + e)), kind="stable")]:
-                model.learn(np.concatenate([[0], at[i]]), int(label[i]))
-        keep, w = model.compact()
+        chosen = rates if "l1" in rates else rates | {"l1": choose_l1(used, at, label, hashes, seed, bits)}
+        keep, w = _learned(used, at, label, hashes, epochs, seed, bits, **chosen).compact()
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(w, pa.float64())], names=["slot", "weight"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    rows = rows.mapInArrow(featured, "doc_id long, toxic int, at array<int>")
-    got = rows.repartition(1).sortWithinPartitions("doc_id", "toxic").mapInArrow(trained, "slot long, weight double").toArrow()
+    rows = rows.mapInArrow(featured, "doc_id long, toxic int, at array<int>").withColumn("h", F.xxhash64("doc_id"))
+    # Streamed in the order of the hash: one task, whose memory most_slots bounds, and equal rows follow each other.
+    ordered = rows.repartition(1).sortWithinPartitions("h", "doc_id", "toxic", "at").drop("h")
+    got = ordered.mapInArrow(trained, "slot long, weight double").toArrow()
     return got.column("slot").to_numpy(), got.column("weight").to_numpy()
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
     """doc_id, score for every row of ``docs`` (doc_id, text). Null text counts as empty; a text without words gets the
-    score of the bias alone. Repeated rows repeat; an empty table gives none; other columns are not looked at."""
+    score of the bias alone. Texts of any length are read whole; equal texts have equal scores. Repeated rows repeat; an empty table gives none; other columns are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

@@ -197,9 +197,9 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = [x for x in hard_rows() if x[0] is not None and x != (5, hard_rows()[4][1])] + [(50, "<|endoftext|> is text"), (51, "".join(chr(c) for c in range(1, 0x300)) + "  　x")]
+    rows = [x for x in hard_rows() if x[0] is not None and x != (5, hard_rows()[4][1])] + [(50, "<|endoftext|> is text"), (52, "a <|endoftext|> b"), (53, "a <|endoftext"), (51, "".join(chr(c) for c in range(1, 0x300)) + "  　x")]
     want = {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for i, x in rows}
+    assert want[52].tolist() == [64, 220, 50256, 275, 0]
     got = packing.pack(docs(spark, rows).repartition(2), path).collect()
     by_doc, by_seq = {}, {}
     for p in got:
