@@ -1,12 +1,14 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
-Fingerprints (hashes of GRAM tokens, the least of each window of WINDOW) of all templates are an inverted index of fixed
-size, since templates are a parameter and not data. A document's fingerprints hit it; hits of one template on about one
-diagonal are a candidate place, where a banded alignment of template against text counts matched tokens.
+Fingerprints (hashes of GRAM tokens, the least of each window of WINDOW) of all templates are an inverted index of checked size,
+since templates are a parameter and not data. A document's fingerprints, winnowed the same way, hit it; hits of one template on
+about one diagonal are a candidate place, where a banded alignment of template against text counts matched tokens and is traced
+back to the first and last of them. Text and template that share GRAM + WINDOW - 1 tokens in a row share a fingerprint.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 
@@ -16,26 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import common as C
+from .license_texts import templates as production_templates
 
-GRAM, WINDOW, BAND = 3, 2, 6
+GRAM, WINDOW, BAND = 3, 2, 2
 #: Most templates' tokens that the broadcast index may hold.
 INDEX_TOKENS = 200_000
-
-#: Notices and opening passages of well-known licenses.
-TEMPLATES = {
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "MIT-line": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "Apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -78,97 +65,108 @@ def winnow(g: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(w)) + WINDOW - 1 - np.argmin(w, 1))
 
 
-def align(template: list, text: list, band: int = BAND) -> tuple[int, int, int]:
-    """(matched tokens, first, end) of the best alignment of ``template`` in ``text`` with free ends of the text, the path
-    staying within ``band`` of the diagonal on which ``text`` was cut out (template token i near text token i + band)."""
+def align(template: np.ndarray, text: np.ndarray, width: int, near: int = 0) -> tuple[int, int, int]:
+    """(matched tokens, first, end) of the longest common subsequence of ``template`` and ``text`` in which template token i meets
+    text tokens i to i + width - 1 only; ``first`` and ``end`` are those of the matched text tokens. Among equally long ones that
+    match the template's last token it ends nearest to offset ``near``, else as early as it can; traced back, it begins as late
+    as it can."""
     m, n = len(template), len(text)
-    width = 2 * band + 1
-    prev = [(0, j) for j in range(width)]  # (score, start) at offset j: text position i + j
+    score = np.zeros((m + 1, width + 1), np.int32)  # the last column stands for no text beyond the band
+    padded = np.concatenate([text, np.full(max(0, m + width - n), -1, text.dtype)])
+    same = np.lib.stride_tricks.sliding_window_view(padded, width)[:m] == template[:, None]
     for i in range(m):
-        row = []
-        for d in range(width):
-            j = i + d  # text token at this cell
-            best = prev[d] if j >= n or template[i] != text[j] else (prev[d][0] + 1, prev[d][1] if prev[d][0] else j)
-            if d + 1 < width and prev[d + 1][0] > best[0]:
-                best = prev[d + 1]
-            if d and row[d - 1][0] > best[0]:
-                best = row[d - 1]
-            row.append(best)
-        prev = row
-    score, start = max(prev, key=lambda x: (x[0], x[1]))
-    need, i, end = set(template), start, start
-    last = min(n, m + 2 * band)
-    seen = 0
-    for i in range(start, last):
-        if text[i] in need:
-            seen += 1
-            end = i + 1
-            if seen >= score:
-                break
-    return score, start, end
+        score[i + 1, :width] = np.maximum.accumulate(np.maximum(score[i, :width] + same[i], score[i, 1:]))
+        score[i + 1, width] = 0
+    best = int(score[m, :width].max())
+    if not best:
+        return 0, 0, 0
+    last = np.flatnonzero(same[m - 1] & (score[m - 1, :width] + 1 == best))
+    d = int(last[np.argmin(np.abs(last - near))]) if len(last) else int(np.argmax(score[m, :width]))
+    i, first, end = m, 0, 0
+    while i and score[i, d]:
+        now = score[i, d]
+        if same[i - 1, d] and now == score[i - 1, d] + 1:  # template token i - 1 meets text token i - 1 + d
+            first, end = i - 1 + d, end or i + d
+            i -= 1
+        elif now == score[i - 1, d + 1]:
+            i, d = i - 1, d + 1
+        elif d and now == score[i, d - 1]:
+            d -= 1
+        else:
+            i -= 1
+    return best, first, end
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
-        self.words = [tokens(t.encode())[0] for t in templates.values()]
+        self.words = [hashes(tokens(t.encode())[0]).astype(np.int64) for t in templates.values()]
         if sum(map(len, self.words)) > INDEX_TOKENS:
             raise ValueError("templates exceed the size that is broadcast")
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.need, self.band = [], [max(BAND, len(w) // 6) for w in self.words]
         for t, w in enumerate(self.words):
-            g = grams(hashes(w))
-            for p in winnow(g):
+            g = grams(w)
+            at = winnow(g)
+            self.need.append(max(1, len(at) // 8))  # hits on two neighbouring diagonals that make a candidate
+            for p in at:
                 index[int(g[p])].append((t, int(p)))
         self.index = dict(index)
         self.bits = np.zeros(1 << 16, bool)
         self.bits[np.array(list(index), np.int64) & 0xFFFF] = True
 
     def scan(self, text: bytes, coverage: float) -> list[tuple[str, int, int, int, int]]:
-        """(name, matched, size, first byte, end byte) of every place with enough coverage, best first among overlaps."""
+        """(name, matched, size, first byte, end byte) of every place with enough coverage; of places that overlap the one with
+        most matched tokens after two off for each missing one, ties to the larger template, the earlier place, the earlier name."""
         words, low = tokens(text)
-        g = grams(hashes(words)) if len(words) >= GRAM else np.zeros(0, np.int64)
-        if not len(g):
+        if len(words) < GRAM:
             return []
-        hit = np.flatnonzero(self.bits[g & 0xFFFF])
-        places: dict[tuple[int, int], int] = {}
-        for p in hit:  # every gram is looked up: a document's own winnowing picks a subset of these
+        h = hashes(words).astype(np.int64)
+        g = grams(h)
+        at = winnow(g)
+        hits: dict[tuple[int, int], int] = defaultdict(int)
+        for p in at[self.bits[g[at] & 0xFFFF]]:
             for t, q in self.index.get(int(g[p]), ()):
-                places.setdefault((t, (int(p) - q) // BAND), int(p) - q)
-        if not places:
-            return []
+                hits[t, (int(p) - q) // self.band[t]] += 1
         found = []
-        for (t, _), at in places.items():
-            w = self.words[t]
-            first = max(0, at - BAND)
-            part = words[first : at + len(w) + BAND]
-            if at < BAND:
-                part = [None] * (BAND - at) + part
-                first = at - BAND
-            score, a, b = align(w, part)
-            if score >= coverage * len(w):
-                found.append((t, score, len(w), first + a, first + b))
-        found.sort(key=lambda x: (-x[1] / x[2], -x[2], x[3], x[0]))
-        kept = []
+        for (t, k), n in hits.items():
+            if n + hits.get((t, k + 1), 0) < self.need[t]:
+                continue
+            w, band = self.words[t], self.band[t]
+            lo = (k - 1) * band  # where the band begins; positions before the text match nothing
+            part = h[max(0, lo) : max(0, lo + len(w) + 4 * band)]
+            if lo < 0:
+                part = np.concatenate([np.full(-lo, -1, np.int64), part])
+            score, a, b = align(w, part, 4 * band, band + band // 2)
+            if score and score >= coverage * len(w):
+                found.append((t, score, len(w), lo + a, lo + b))
+        found.sort(key=lambda x: (2 * (x[2] - x[1]) - x[1], -x[2], x[3], x[0]))
+        starts: list[int] = []
+        kept: list[tuple] = []  # apart from each other, in text order
         for x in found:
-            if not any(x[0] == y[0] and x[3] < y[4] and y[3] < x[4] for y in kept):
-                kept.append(x)
+            i = bisect.bisect_right(starts, x[3])
+            if (i == 0 or kept[i - 1][4] <= x[3]) and (i == len(kept) or x[4] <= kept[i][3]):
+                starts.insert(i, x[3])
+                kept.insert(i, x)
         if not kept:
             return []
         spans = [m.span() for m in _TOKEN.finditer(low)]
-        return sorted(((self.names[t], s, n, spans[a][0], spans[b - 1][1]) for t, s, n, a, b in kept), key=lambda x: (x[3], x[0]))
+        return [(self.names[t], s, n, spans[a][0], spans[b - 1][1]) for t, s, n, a, b in kept]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("matched", pa.int64()), ("size", pa.int64()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
-    """doc_id, license, matched, size, coverage, start, end: a row for each place in a text that covers a template.
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
+    """doc_id, license, matched, size, coverage, start, end: a row for each place in a text that covers a template (of
+    ``templates``, label to text; those of license_texts if not given). Places of one document don't overlap.
 
     Tokens are runs of ASCII letters (any case), digits and bytes above 127. ``start`` and ``end`` (exclusive) are code points.
     A document without license text, or with a null or empty one, gives no rows; repeated rows repeat; an empty table gives
-    none; other columns are not looked at. Whole texts are scanned.
+    none; rows that repeat an id are scanned each; other columns are not looked at. Whole texts are scanned, in time linear in
+    their length and, where a template repeats, in its places.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(production_templates() if templates is None else templates))
 
     def of(batches):
         for b in batches:
