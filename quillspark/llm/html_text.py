@@ -1,13 +1,14 @@
 """Main text of web pages: block structure plus host suffix arrays.
 
 Pages are cut into blocks with a small tolerant parser, which also tells each block's region and slot (the path of elements and
-classes it stands in). All visible blocks of a host's pages, as token streams joined end to end, go into suffix arrays: runs of
-tokens that also occur in another page of the host are covered. What is covered is judged by where it stands:
+classes it stands in). A main part's flow, the slot with most of its tokens, is the article itself: what articles share there are
+passages and no boilerplate. All other visible blocks of a host's pages, as token streams joined end to end, go into suffix
+arrays: runs of tokens that also occur in another page of the host are covered. What is covered is judged by where it stands:
 
 * outside a main part, in pages that mark none: covered runs are boilerplate, unique runs are kept;
 * in a main part, in a slot whose name may mean boilerplate (share, related, notice, ...): a block covered for the most part goes;
-* elsewhere in a main part: a wholly covered block goes if its slot is wholly covered on nearly all pages of the host, pages that
-  are copies of others aside; other covered blocks are passages that articles share, and stay.
+* elsewhere in a main part: a wholly covered block goes if its slot is wholly covered beside nearly all different articles of the
+  host and has far fewer texts than there are articles; others (titles of copied articles, say) stay.
 
 Menus, forms, adverts and the like that are unique to their page can't be seen by any array; element names and unmistakable
 classes settle those.
@@ -31,10 +32,9 @@ from . import common as C
 
 RUN = 8  # tokens that count as a long substring
 SHARD_TOKENS = 600_000
-#: A page with more of its main part covered is a copy and no evidence of what a host repeats.
-COPY_SHARE = 0.5
-#: How many pages must have a slot wholly covered, and what share of those that have it, for it to be boilerplate.
-SLOT_PAGES, SLOT_SHARE = 5, 0.8
+#: Beside how many different articles a slot must be wholly covered, what share of those that have it, and how many texts of its
+#: own for each of them it may have at most, to be boilerplate.
+SLOT_FLOWS, SLOT_SHARE, SLOT_TEXTS = 5, 0.8, 0.5
 MOSTLY = 0.8  # covered share at which a block in a doubtful slot goes
 CHROME, OPEN, MAIN, DOUBTFUL = 0, 1, 2, 3
 
@@ -222,20 +222,37 @@ def _window_hashes(h: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("regions", pa.list_(pa.int8())), ("slots", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("tokens", pa.int64())])
-_PARSED_KIND = "page_id long, url string, host string, regions array<byte>, slots array<long>, texts array<string>, tokens long"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("regions", pa.list_(pa.int8())), ("slots", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("live", pa.list_(pa.int32())), ("flow", pa.int64()), ("tokens", pa.int64())])
+_PARSED_KIND = "page_id long, url string, host string, regions array<byte>, slots array<long>, texts array<string>, live array<int>, flow long, tokens long"
+
+
+def flow_slot(found: list[tuple[int, str, str]]) -> str | None:
+    """The slot that holds most tokens of a page's main part, the earliest of equal ones; none without a main part."""
+    sizes: dict[str, int] = {}
+    for region, slot, text in found:
+        if region == MAIN:
+            sizes[slot] = sizes.get(slot, 0) + text.count(" ") + 1
+    return max(sizes, key=sizes.get) if sizes else None
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """A row for each page: its visible blocks with their regions and (hashed) slots."""
+    """A row for each page: its visible blocks with their regions and (hashed) slots, which of them are in the host's stream
+    (``live``), how many tokens those have, and a hash of the flow."""
 
     def of(batches):
         for b in batches:
             out = []
             for page_id, url, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), C.texts(b, "html"), strict=True):
                 found = blocks(page)
-                out.append((page_id, url, host_of(url), [r for r, _, _ in found], [xxhash.xxh3_64_intdigest(x) - (1 << 63) for _, x, _ in found], [t for _, _, t in found], sum(t.count(" ") + 1 for _, _, t in found)))
-            yield C.rows_out(_PARSED, zip(*out, strict=True) if out else [[]] * 7)
+                flow = flow_slot(found)
+                live = [i for i, (r, slot, _) in enumerate(found) if r != MAIN or slot != flow]
+                body = _hash("\n".join(t for r, slot, t in found if r == MAIN and slot == flow))
+                out.append((page_id, url, host_of(url), [r for r, _, _ in found], [_hash(x) for _, x, _ in found], [t for _, _, t in found], live, body, sum(found[i][2].count(" ") + 1 for i in live)))
+            yield C.rows_out(_PARSED, zip(*out, strict=True) if out else [[]] * 9)
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(of, _PARSED_KIND)
 
@@ -268,11 +285,12 @@ class _Shard:
 
 
 def _covers(every: DataFrame, run: int, shard_tokens: int) -> DataFrame:
-    """row, counts (covered tokens of each block) and spans (begin and end of each covered run in the page's stream)."""
+    """row, counts (covered tokens of each live block) and spans (begin and end of each covered run in the page's stream)."""
     hosts = every.groupBy("host").agg(F.sum("tokens").alias("n")).select("host", F.ceil(F.col("n") / F.lit(shard_tokens)).cast("int").alias("shards")).where("shards > 1")
     split = C.saved(hosts)
     dealt = every.where("tokens > 0").join(C.sized(split), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    dealt = dealt.select("host", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"), "shards", "row", "texts")
+    live = F.transform("live", lambda i: F.get("texts", i)).alias("texts")
+    dealt = dealt.select("host", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"), "shards", "row", live)
     order = ["host", "shard"]
     key_schema = pa.schema([("host", pa.string()), ("shard", pa.int32()), ("key", pa.int64())])
 
@@ -325,23 +343,14 @@ def _covers(every: DataFrame, run: int, shard_tokens: int) -> DataFrame:
 
 def _template_blocks(every: DataFrame, covers: DataFrame) -> DataFrame:
     """row, gone: the main blocks of each page (by number) that are wholly covered and stand in a slot that the host repeats."""
-    sizes = F.transform("texts", lambda t: F.size(F.split(t, " ")))
-    x = every.join(covers.select("row", "counts"), "row").withColumn("sizes", sizes)
-    x = x.withColumn("b", F.arrays_zip("regions", "slots", "counts", "sizes")).drop("texts", "spans")
-    main = F.filter("b", lambda z: z["regions"] == MAIN)
-    total = lambda name: F.aggregate(main, F.lit(0), lambda s, z: s + z[name])
-    x = x.withColumn("own", total("counts") < COPY_SHARE * total("sizes"))
-    flat = x.select("row", "host", "own", F.posexplode("b").alias("i", "z")).where(F.col("z.regions") == MAIN)
-    whole = F.col("z.counts") == F.col("z.sizes")
-    flat = flat.where("own").select("row", "host", "i", F.col("z.slots").alias("slot"), whole.alias("whole"))
-    # Pages without any covered run have the slot too, but only slots covered somewhere are asked about.
-    asked = flat.where("whole").select("host", "slot").distinct()
-    bare = every.join(covers.select("row"), "row", "left_anti").select("row", "host", F.explode(F.arrays_zip("regions", "slots")).alias("z")).where(F.col("z.regions") == MAIN)
-    seen = flat.select("row", "host", "slot", "whole").unionByName(bare.select("row", "host", F.col("z.slots").alias("slot"), F.lit(False).alias("whole")))
-    by_page = seen.groupBy("host", "slot", "row").agg(F.bool_and("whole").alias("whole"))
-    slots = by_page.groupBy("host", "slot").agg(F.count(F.when(F.col("whole"), 1)).alias("n"), F.count(F.lit(1)).alias("pages"))
-    slots = slots.join(asked, ["host", "slot"], "left_semi").where((F.col("n") >= SLOT_PAGES) & (F.col("n") >= SLOT_SHARE * F.col("pages"))).select("host", "slot")
-    return flat.where("whole").join(slots, ["host", "slot"], "left_semi").groupBy("row").agg(F.collect_set("i").alias("gone"))
+    x = every.join(covers.select("row", "counts"), "row", "left").select("row", "host", "flow", "regions", "slots", "texts", F.posexplode("live").alias("j", "i"), "counts")
+    x = x.withColumn("text", F.get("texts", "i")).where(F.get("regions", "i") == MAIN)
+    whole = F.coalesce(F.get("counts", "j") == F.size(F.split("text", " ")), F.lit(False))
+    x = x.select("row", "i", "host", "flow", F.get("slots", "i").alias("slot"), F.xxhash64("text").alias("h"), whole.alias("whole"))
+    by_flow = x.groupBy("host", "slot", "flow").agg(F.bool_and("whole").alias("whole"), F.min("h").alias("h"))
+    slots = by_flow.groupBy("host", "slot").agg(F.count(F.when(F.col("whole"), 1)).alias("n"), F.count(F.lit(1)).alias("flows"), F.countDistinct("h").alias("texts"))
+    slots = slots.where((F.col("n") >= SLOT_FLOWS) & (F.col("n") >= SLOT_SHARE * F.col("flows")) & (F.col("texts") <= SLOT_TEXTS * F.col("flows")))
+    return x.where("whole").join(slots, ["host", "slot"], "left_semi").groupBy("row").agg(F.collect_set("i").alias("gone"))
 
 
 def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -365,32 +374,33 @@ def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS)
 
     def cleaned(batches):
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("regions", "texts", "counts", "spans", "gone")]
+            columns = [b.column(c).to_pylist() for c in ("regions", "texts", "live", "counts", "spans", "gone")]
             texts, removed = [], []
-            for regions, blocks_, counts, spans, drop in zip(*columns, strict=True):
-                text, n = _cleaned(regions, blocks_, counts, spans, set(drop or ()))
+            for regions, blocks_, live, counts, spans, drop in zip(*columns, strict=True):
+                text, n = _cleaned(regions, blocks_, dict(zip(live, counts or (), strict=False)), set(live), spans or (), set(drop or ()))
                 texts.append(text)
                 removed.append(n)
             yield C.rows_out(schema, [b.column("page_id"), b.column("url"), texts, removed])
 
-    full = every.join(covers, "row", "left").join(gone, "row", "left").select("page_id", "url", "regions", "texts", "counts", "spans", "gone")
+    full = every.join(covers, "row", "left").join(gone, "row", "left").select("page_id", "url", "regions", "texts", "live", "counts", "spans", "gone")
     done = full.mapInArrow(cleaned, "page_id long, url string, text string, n_boilerplate long")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
 
 
-def _cleaned(regions: list[int], texts: list[str], counts: list[int] | None, spans: list[int] | None, gone: set[int]) -> tuple[str, int]:
-    """(text, boilerplate tokens that the arrays found) of one page."""
+def _cleaned(regions: list[int], texts: list[str], counts: dict[int, int], live: set[int], spans: list[int], gone: set[int]) -> tuple[str, int]:
+    """(text, boilerplate tokens that the arrays found) of one page; ``counts`` by block number."""
     marked = any(r in (MAIN, DOUBTFUL) for r in regions)
-    counts = counts or [0] * len(texts)
-    lines, n, first, at = [], 0, 0, 0
-    spans = spans or []
+    lines, n, first, at = [], 0, 0, 0  # first: the block's place in the stream
     for i, (region, text) in enumerate(zip(regions, texts, strict=True)):
-        size = text.count(" ") + 1
+        if i not in live:
+            lines.append(text)
+            continue
+        size, count = text.count(" ") + 1, counts.get(i, 0)
         if region == CHROME or region == OPEN and marked:
-            n += counts[i]
-        elif region == DOUBTFUL and counts[i] >= MOSTLY * size or i in gone:
+            n += count
+        elif region == DOUBTFUL and count >= MOSTLY * size or i in gone:
             n += size
-        elif region == OPEN and counts[i]:
+        elif region == OPEN and count:
             keep = np.ones(size, bool)
             while at < len(spans) and spans[at + 1] <= first:
                 at += 2
