@@ -284,13 +284,23 @@ class _Shard:
         return _window_hashes(h, run)[at], at
 
 
+#: What a shard tells of a page: covered tokens of each live block and begin and end of each covered run, where that may change
+#: its text, else null; and its live blocks in the main part, by number, slot, hash and whether they are wholly covered.
+_COVERED = pa.schema([
+    ("row", pa.int64()), ("host", pa.string()), ("flow", pa.int64()), ("counts", pa.list_(pa.int32())), ("spans", pa.list_(pa.int32())),
+    ("blocks", pa.list_(pa.int32())), ("slots", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("whole", pa.list_(pa.bool_())),
+])
+_COVERED_KIND = "row long, host string, flow long, counts array<int>, spans array<int>, blocks array<int>, slots array<long>, hashes array<long>, whole array<boolean>"
+
+
 def _covers(every: DataFrame, run: int, shard_tokens: int) -> DataFrame:
-    """row, counts (covered tokens of each live block) and spans (begin and end of each covered run in the page's stream)."""
+    """_COVERED for the pages that have anything of it to tell."""
     hosts = every.groupBy("host").agg(F.sum("tokens").alias("n")).select("host", F.ceil(F.col("n") / F.lit(shard_tokens)).cast("int").alias("shards")).where("shards > 1")
     split = C.saved(hosts)
     dealt = every.where("tokens > 0").join(C.sized(split), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    live = F.transform("live", lambda i: F.get("texts", i)).alias("texts")
-    dealt = dealt.select("host", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"), "shards", "row", live)
+    of_live = lambda c: F.transform("live", lambda i: F.get(c, i)).alias(c)
+    marked = F.exists("regions", lambda r: (r == MAIN) | (r == DOUBTFUL)).alias("marked")
+    dealt = dealt.select("host", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"), "shards", "row", "flow", "live", marked, of_live("regions"), of_live("slots"), of_live("texts"))
     order = ["host", "shard"]
     key_schema = pa.schema([("host", pa.string()), ("shard", pa.int32()), ("key", pa.int64())])
 
@@ -301,56 +311,55 @@ def _covers(every: DataFrame, run: int, shard_tokens: int) -> DataFrame:
                 part = keys[a : a + 100_000]
                 yield C.rows_out(key_schema, [[host] * len(part), [shard] * len(part), part])
 
-    several = dealt.where("shards > 1").drop("shards").repartition(*order).sortWithinPartitions(*order)
+    several = dealt.where("shards > 1").select(*order, "row", "texts").repartition(*order).sortWithinPartitions(*order)
     keys = several.mapInArrow(keyed, "host string, shard int, key long")
     shared = keys.groupBy("host", "key").agg(F.collect_set("shard").alias("among")).where(F.size("among") > 1)  # at most a host's shards
-    shared = shared.select("host", F.explode("among").alias("shard"), "key").withColumn("side", F.lit(0)).withColumn("row", F.lit(None).cast("long")).withColumn("texts", F.lit(None).cast("array<string>"))
-    both = dealt.drop("shards").withColumn("side", F.lit(1)).withColumn("key", F.lit(None).cast("long")).unionByName(shared)
-    found = pa.schema([("row", pa.int64()), ("counts", pa.list_(pa.int32())), ("spans", pa.list_(pa.int32()))])
+    shared = shared.select("host", F.explode("among").alias("shard"), "key").withColumn("side", F.lit(0))
+    both = dealt.drop("shards").withColumn("side", F.lit(1)).unionByName(shared, allowMissingColumns=True)
 
     def covered(batches):
-        for _, slices in C.runs(batches, order):
-            keys = [s.column("key").filter(s.column("key").is_valid()).to_numpy() for s in slices]
+        for (host, _), slices in C.runs(batches, order):
+            keys = np.concatenate([s.column("key").filter(s.column("key").is_valid()).to_numpy() for s in slices])
             pages = [s for s in (s.filter(s.column("row").is_valid()) for s in slices) if s.num_rows]
             if not pages:
                 continue
             x = _Shard(pages)
             hit = repeated_runs(x.tokens, x.page, run)
-            keys = np.concatenate(keys)
             if len(keys):
                 hashes, at = x.windows(run)
-                more = np.zeros(len(hit) + 1, np.int64)
                 at = at[np.isin(hashes, keys)]
+                more = np.zeros(len(hit) + 1, np.int64)
                 np.add.at(more, at, 1)
                 np.add.at(more, at + run, -1)
                 hit |= np.cumsum(more)[:-1] > 0
             counts = np.diff(np.concatenate([[0], np.cumsum(hit)])[x.first])
-            page_first = x.first[np.concatenate([[0], x.block_end])]
-            out = []
-            for i, row in enumerate(x.rows):
-                a, z = page_first[i], page_first[i + 1]
-                b0, b1 = (x.block_end[i - 1] if i else 0), x.block_end[i]
-                mine = hit[a:z]
-                if mine.any():
-                    step = np.diff(np.concatenate([[0], mine.astype(np.int8), [0]]))
+            columns = [[v for s in pages for v in s.column(c).to_pylist()] for c in ("flow", "live", "marked", "regions", "slots")]
+            out, b0 = [], 0
+            for i, (flow, live, marked, regions, slots) in enumerate(zip(*columns, strict=True)):
+                b1 = int(x.block_end[i])
+                mine, sizes = counts[b0:b1], x.lengths[b0:b1]
+                edit = any(n and (r == DOUBTFUL or r == OPEN and not marked) for n, r in zip(mine, regions, strict=True))
+                main = [j for j, r in enumerate(regions) if r == MAIN]
+                if edit:
+                    step = np.diff(np.concatenate([[0], hit[x.first[b0] : x.first[b1]].astype(np.int8), [0]]))
                     spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).ravel()
-                    out.append((row, counts[b0:b1].astype(np.int32), spans.astype(np.int32)))
+                if edit or main:
+                    of_main = ([live[j] for j in main], [slots[j] for j in main], [_hash(x.texts[i][j]) for j in main], [bool(mine[j] == sizes[j]) for j in main])
+                    out.append((x.rows[i], host, flow, mine.astype(np.int32) if edit else None, spans.astype(np.int32) if edit else None, *of_main))
+                b0 = b1
             if out:
-                yield C.rows_out(found, zip(*out, strict=True))
+                yield C.rows_out(_COVERED, zip(*out, strict=True))
 
-    return both.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(covered, "row long, counts array<int>, spans array<int>")
+    return both.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(covered, _COVERED_KIND)
 
 
-def _template_blocks(every: DataFrame, covers: DataFrame) -> DataFrame:
+def _template_blocks(covers: DataFrame) -> DataFrame:
     """row, gone: the main blocks of each page (by number) that are wholly covered and stand in a slot that the host repeats."""
-    x = every.join(covers.select("row", "counts"), "row", "left").select("row", "host", "flow", "regions", "slots", "texts", F.posexplode("live").alias("j", "i"), "counts")
-    x = x.withColumn("text", F.get("texts", "i")).where(F.get("regions", "i") == MAIN)
-    whole = F.coalesce(F.get("counts", "j") == F.size(F.split("text", " ")), F.lit(False))
-    x = x.select("row", "i", "host", "flow", F.get("slots", "i").alias("slot"), F.xxhash64("text").alias("h"), whole.alias("whole"))
-    by_flow = x.groupBy("host", "slot", "flow").agg(F.bool_and("whole").alias("whole"), F.min("h").alias("h"))
-    slots = by_flow.groupBy("host", "slot").agg(F.count(F.when(F.col("whole"), 1)).alias("n"), F.count(F.lit(1)).alias("flows"), F.countDistinct("h").alias("texts"))
+    x = covers.select("row", "host", "flow", F.explode(F.arrays_zip("blocks", "slots", "hashes", "whole")).alias("z")).select("row", "host", "flow", "z.*")
+    by_flow = x.groupBy("host", "slots", "flow").agg(F.bool_and("whole").alias("whole"), F.min("hashes").alias("h"))
+    slots = by_flow.groupBy("host", "slots").agg(F.count(F.when(F.col("whole"), 1)).alias("n"), F.count(F.lit(1)).alias("flows"), F.countDistinct("h").alias("texts"))
     slots = slots.where((F.col("n") >= SLOT_FLOWS) & (F.col("n") >= SLOT_SHARE * F.col("flows")) & (F.col("texts") <= SLOT_TEXTS * F.col("flows")))
-    return x.where("whole").join(slots, ["host", "slot"], "left_semi").groupBy("row").agg(F.collect_set("i").alias("gone"))
+    return x.where("whole").join(slots, ["host", "slots"], "left_semi").groupBy("row").agg(F.collect_set("blocks").alias("gone"))
 
 
 def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -359,31 +368,44 @@ def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS)
     Text: blocks of the main part in page order, one line each, without those that the host's suffix arrays show to be
     boilerplate (see above). Pages that mark no main part give their blocks outside menus and the like, without runs of ``run``
     or more tokens found in another page of the host; what unique tokens a block has left stay in its line. ``n_boilerplate``
-    counts the tokens of covered runs outside main parts and of the blocks that arrays took out. Null or empty html gives an
+    counts the tokens that the arrays took out so; what names and classes settle isn't counted. Null or empty html gives an
     empty text; pages without a host share one group. Pages of any length are read whole; one page is never split over shards.
     Repeated rows repeat (and so are boilerplate to each other where no main part is marked); rows that repeat a page_id are
     pages of their own. An empty table gives no rows; other columns are not looked at.
+
+    Only pages whose text the arrays change are shuffled; a bitmap of fixed size passes all others straight through.
     """
     spark = pages.sparkSession
     path = f"{C.shared_dir(spark).rstrip('/')}/tables/pages-{C.uuid.uuid4().hex}"
     parsed(pages).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     every = spark.read.parquet(path)
     covers = C.saved(_covers(every, run, shard_tokens))
-    gone = C.saved(_template_blocks(every, covers))
+    edits = covers.where("counts is not null").select("row", "counts", "spans").join(_template_blocks(covers), "row", "full_outer")
+    edits = C.saved(edits)
+    touched = spark.sparkContext.broadcast(C.KeyFilter.of(edits.select(F.xxhash64("row").alias("h")), "h"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_boilerplate", pa.int64())])
+    kind = "page_id long, url string, text string, n_boilerplate long"
+
+    def cleaned(edited: bool):
+        def of(batches):
+            for b in batches:
+                if not edited:
+                    b = b.filter(pa.array(~touched.value.has(b.column("h").to_numpy())))
+                columns = [b.column(c).to_pylist() for c in ("regions", "texts", "live")]
+                columns += [b.column(c).to_pylist() if edited else [None] * b.num_rows for c in ("counts", "spans", "gone")]
+                got = [_cleaned(regions, texts, dict(zip(live, counts or (), strict=False)), set(live), spans or (), set(gone or ())) for regions, texts, live, counts, spans, gone in zip(*columns, strict=True)]
+                yield C.rows_out(schema, [b.column("page_id"), b.column("url"), [t for t, _ in got], [n for _, n in got]])
 
-    def cleaned(batches):
+        return of
+
+    def maybe(batches):
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("regions", "texts", "live", "counts", "spans", "gone")]
-            texts, removed = [], []
-            for regions, blocks_, live, counts, spans, drop in zip(*columns, strict=True):
-                text, n = _cleaned(regions, blocks_, dict(zip(live, counts or (), strict=False)), set(live), spans or (), set(drop or ()))
-                texts.append(text)
-                removed.append(n)
-            yield C.rows_out(schema, [b.column("page_id"), b.column("url"), texts, removed])
-
-    full = every.join(covers, "row", "left").join(gone, "row", "left").select("page_id", "url", "regions", "texts", "live", "counts", "spans", "gone")
-    done = full.mapInArrow(cleaned, "page_id long, url string, text string, n_boilerplate long")
+            yield b.filter(pa.array(touched.value.has(b.column("h").to_numpy())))
+
+    parts = every.select("page_id", "url", "regions", "texts", "live", "row", F.xxhash64("row").alias("h"))
+    plain = parts.mapInArrow(cleaned(False), kind)
+    some = parts.mapInArrow(maybe, parts.schema).join(edits, "row", "left")
+    done = plain.unionByName(some.mapInArrow(cleaned(True), kind))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
 
 
@@ -397,7 +419,7 @@ def _cleaned(regions: list[int], texts: list[str], counts: dict[int, int], live:
             continue
         size, count = text.count(" ") + 1, counts.get(i, 0)
         if region == CHROME or region == OPEN and marked:
-            n += count
+            pass
         elif region == DOUBTFUL and count >= MOSTLY * size or i in gone:
             n += size
         elif region == OPEN and count:
