@@ -67,6 +67,15 @@ def keep_only(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataF
     return docs.join(sized(dropped.select(key)), key, "left_anti")
 
 
+def cut(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most ``rows`` rows, so that lists of Python objects stay small; memory that Arrow holds back goes
+    back to the system after the last one, since workers outlive their tasks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A string column's values as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

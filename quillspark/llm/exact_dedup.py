@@ -126,7 +126,7 @@ def keys(docs: DataFrame, carry: str | None = None) -> DataFrame:
     normalised text."""
 
     def of(batches):
-        for b in batches:
+        for b in C.cut(batches):
             got = [normal(x) for x in C.text_bytes(b)]
             sums = [hashlib.sha256(x) for x in got]
             yield C.rows_out(_KEY, (b.column("doc_id"), b.column("carried"), [len(x) for x in got], [int.from_bytes(s.digest()[:8], "big", signed=True) for s in sums], [s.hexdigest() for s in sums]))
@@ -159,7 +159,7 @@ def _local_owners(docs: DataFrame, wanted, largest: bool, salts: int, trie_bytes
             for text, owner, copies in rows:
                 yield len(text), int.from_bytes(hashlib.sha256(text).digest()[:8], "big", signed=True), salt, text, owner, copies
 
-        for b in batches:
+        for b in C.cut(batches):
             for doc_id, raw in zip(b.column("doc_id").to_pylist(), C.text_bytes(b), strict=True):
                 text = normal(raw)
                 h = int.from_bytes(hashlib.sha256(text).digest()[:8], "big", signed=True)

@@ -37,7 +37,7 @@ class _Words(dict):
     """Word -> 64-bit hash for the words seen; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, k: int, carry: str | None = None) -> DataFrame:
     """A row for each of ``docs``: id, the carried number (null without one), and size, identity, band keys and bytes of its set."""
 
     def of(batches):
-        for b in batches:
+        for b in C.cut(batches):
             out = []
             for doc_id, carried, text in zip(b.column("doc_id").to_pylist(), b.column("carried").to_pylist(), C.text_bytes(b), strict=True):
                 s = shingles(text, k)
@@ -159,7 +159,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
 
     def of(batches):
-        for b in batches:
+        for b in C.cut(batches):
             b = b.filter(pa.array(bitmap.value.has(b.column("h").to_numpy())))
             if b.num_rows:
                 sets = [shingles(t, k) for t in C.text_bytes(b)]

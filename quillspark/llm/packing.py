@@ -234,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
         coder = encoder(tokenizer)
         packer = _Packer(coder.ends, TaskContext.get().partitionId() << 33, length)
-        for b in batches:
+        for b in C.cut(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), C.texts(b), strict=True):
                 ids = coder.ids(text)
                 yield from packer.add(doc_id, np.append(ids, np.uint32(END_ID)).astype(np.uint32))

@@ -64,7 +64,7 @@ def _featured(docs: DataFrame, extra: list[str]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in extra], ("x", pa.list_(pa.float64()))])
 
     def of(batches):
-        for b in batches:
+        for b in C.cut(batches):
             yield C.rows_out(schema, [b.column("doc_id").cast(pa.int64()), *[b.column(c).cast(pa.int64()) for c in extra], [features(t) for t in C.text_bytes(b)]])
 
     assert all(c in kinds for c in extra)
@@ -139,7 +139,7 @@ def score_quality(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def of(batches):
-        for b in batches:
+        for b in C.cut(batches):
             yield C.rows_out(schema, [b.column("doc_id").cast(pa.int64()), shared.value.scores(C.text_bytes(b))])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, score double")
@@ -150,9 +150,8 @@ def accepted(docs: DataFrame, model: BradleyTerry, accept: float = ACCEPT) -> Da
     rows that repeat an id don't answer for each other. No shuffle; otherwise as ``score_quality``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def of(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(shared.value.scores(C.text_bytes(b)) >= accept))
+    def scored(texts: pa.Array) -> pa.Array:
+        every = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+        return pa.array(shared.value.scores(every), pa.float64())
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.where(F.arrow_udf(scored, "double")(F.col("text").cast("string")) >= accept)
