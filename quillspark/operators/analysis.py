@@ -28,6 +28,8 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_terms: int |
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_terms)
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
     idf = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + C("n_docs")) / (1 + C("df"))) + 1).alias("idf"))
+    if max_terms and max_terms <= 200_000:  # rows of two values: small enough to send
+        idf = F.broadcast(idf)
     w = tf.join(idf, "term").withColumn("w", (1 + F.ln("tf")) * C("idf"))
     return w.withColumn("weight", C("w") / F.sqrt(F.sum(C("w") * C("w")).over(Window.partitionBy(key)))).select(key, "term", "weight")
 
@@ -40,10 +42,11 @@ def lexical_js(weights: DataFrame, members: DataFrame, key: str, by: list[str])
     sizes = members.groupBy(*by, "side").agg(F.countDistinct(key).alias("n"))
     mass = members.join(weights, key).groupBy(*by, "side", "term").agg(F.sum("weight").alias("w")).join(sizes, [*by, "side"])
     wide = mass.groupBy(*by, "term").agg(*[F.sum(F.when(C("side") == s, C("w") / C("n"))).alias(s) for s in ("before", "after")]).na.fill(0.0)
-    wide = wide.crossJoin(F.broadcast(v))
-    g = Window.partitionBy(*by)
-    p, q = ((C(s) + EPS) / (F.sum(s).over(g) + C("v") * EPS) for s in ("before", "after"))
-    wide = wide.withColumns({"p": p, "q": q, "p0": EPS / (F.sum("before").over(g) + C("v") * EPS), "q0": EPS / (F.sum("after").over(g) + C("v") * EPS)})
+    wide = saved(wide)
+    total = wide.groupBy(*by).agg(F.sum("before").alias("nb"), F.sum("after").alias("na")).crossJoin(F.broadcast(v))  # a row a window
+    wide = wide.join(total, by)
+    p, q = ((C(s) + EPS) / (C(n) + C("v") * EPS) for s, n in (("before", "nb"), ("after", "na")))
+    wide = wide.withColumns({"p": p, "q": q, "p0": EPS / (C("nb") + C("v") * EPS), "q0": EPS / (C("na") + C("v") * EPS)})
     part = lambda a, b: (a * F.ln(2 * a / (a + b)) + b * F.ln(2 * b / (a + b))) / 2
     js = F.sum(part(C("p"), C("q"))) + (F.max("v") - F.count(F.lit(1))) * F.max(part(C("p0"), C("q0")))
     return wide.groupBy(*by).agg(F.sqrt(F.greatest(js, F.lit(0.0))).alias("value"))
@@ -143,8 +146,10 @@ def convergence(breaks: DataFrame, tolerance: int = 1) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """node, rank. Edges source_id -> ref_id; the mass of nodes without references is spread evenly.
 
-    Edges and nodes are partitioned by node once and kept, so a round shuffles only its sums by target. Ranks are written to
-    the shared folder every few rounds, which cuts lineage and outlives executors.
+    Nodes without references give their rank to all nodes alike. Since that adds the same to each, it is left out of the rounds
+    and made up for by scaling the ranks to 1 at the end, so a round is one join and one sum by target. Edges and nodes are
+    partitioned by node once and kept. Ranks are written to the shared folder every few rounds, which cuts lineage and outlives
+    executors.
     """
     e = edges.select("source_id", "ref_id").distinct()
     out = e.groupBy(C("source_id").alias("node")).agg(F.count(F.lit(1)).alias("out"))
@@ -155,13 +160,13 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     base = base.repartition("node").persist()
     ranks = base.select("node", "out", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
-        lost = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         given = ranks.where("out is not null").join(links, "node").groupBy(C("ref_id").alias("node")).agg(F.sum(C("rank") / C("out")).alias("in"))
-        ranks = base.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + C("lost") / n)).alias("rank"))
-        if i % 2 or i == rounds - 1:
+        ranks = base.join(given, "node", "left").select("node", "out", ((1 - damping) / max(n, 1) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
+        if i % 5 == 4 or i == rounds - 1:
             ranks = saved(ranks)
     links.unpersist()
     base.unpersist()
+    ranks = ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("total")))).withColumn("rank", C("rank") / C("total"))
     return ranks.select("node", "rank")
 
 

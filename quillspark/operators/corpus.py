@@ -82,13 +82,21 @@ def apply_filter(works: DataFrame, flagged: Column, protected: Column, year_floo
 
 
 def merge_citations(parts: list[DataFrame], sentinel: str) -> DataFrame:
-    """Union without sentinel rows; one row for each source and DOI, or source, title and year where there is no DOI."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    """Union without sentinel rows; one row for each source and DOI or, where there is no DOI, for each source, title, first
+    author and year. Keys are trimmed and lower-cased, null like empty. Of rows with one key that of the earliest part stays, ties
+    to the smaller row (all columns, in order), so the result doesn't depend on how the rows are read."""
+    out = parts[0].withColumn("_part", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("_part", F.lit(i)), allowMissingColumns=True)
+    columns = [c for c in out.columns if c != "_part"]
     out = out.where(F.coalesce(C("ref_doi"), F.lit("")) != sentinel)
-    has = F.coalesce(C("ref_doi"), F.lit("")) != ""
-    return out.where(has).dropDuplicates(["source_doi", "ref_doi"]).unionByName(out.where(~has).dropDuplicates(["source_doi", "ref_title", "ref_year"]))
+    norm = lambda c: F.lower(F.trim(F.coalesce(C(c), F.lit(""))))
+    doi = norm("ref_doi")
+    loose = lambda k: F.when(doi == "", k)
+    author = norm("ref_first_author") if "ref_first_author" in columns else F.lit("")
+    keys = {"_k0": norm("source_doi"), "_k1": doi, "_k2": loose(norm("ref_title")), "_k3": loose(author), "_k4": loose(C("ref_year"))}
+    first = F.min(F.struct("_part", *columns)).alias("_r")
+    return out.withColumns(keys).groupBy(*keys).agg(first).select(*[C(f"_r.{c}").alias(c) for c in columns])
 
 
 def blocked_match(refs: DataFrame, works: DataFrame, score, least: float) -> DataFrame:

@@ -76,7 +76,7 @@ def interpolate(df: DataFrame, by: list[str], t: str, x: str) -> DataFrame:
     known_t = F.when(F.col(x).isNotNull(), F.col(t))
     d = df.withColumns({"x0": F.last(x, True).over(back), "t0": F.last(known_t, True).over(back), "x1": F.first(x, True).over(ahead), "t1": F.first(known_t, True).over(ahead)})
     line = F.when(F.col("t0").isNull(), F.col("x1")).when(F.col("t1").isNull() | (F.col("t1") == F.col("t0")), F.col("x0")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col(t) - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    return df.withColumn("_k", F.lit(0)).drop("_k").join(d.select(*by, t, line.alias("filled")), [*by, t])
+    return df.join(d.select(*by, t, line.alias("filled")), [*by, t])
 
 
 def windows_before_after(df: DataFrame, year: str, widths: tuple[int, ...], gap: int) -> DataFrame:

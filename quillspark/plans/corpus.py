@@ -125,12 +125,14 @@ def _(works):
     return works.select("source").unionByName(works.select(C("lang").alias("source"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@op("ST_02_merge_citations", "edges", sql="WITH e AS (SELECT CAST(source_id AS VARCHAR) s, CASE WHEN ref_id % 10 = 0 THEN '__NO_REFS__' WHEN ref_id % 3 = 0 THEN '' ELSE '10.1/' || ref_id END d, 'T' || ref_id % 7 t, ref_year y FROM edges) SELECT DISTINCT s source_doi, d ref_doi, NULL::VARCHAR ref_title, NULL::INT ref_year FROM e WHERE d NOT IN ('', '__NO_REFS__') UNION ALL SELECT DISTINCT s, d, t, y FROM e WHERE d = ''")
+@op("ST_02_merge_citations", "edges", sql="WITH e AS (SELECT CAST(source_id AS VARCHAR) s, CASE WHEN ref_id % 10 = 0 THEN '__NO_REFS__' WHEN ref_id % 3 = 0 THEN '' ELSE '10.1/A' || ref_id END d, 'T' || ref_id % 7 t, 'Author ' || ref_id % 5 f, ref_year y FROM edges), u AS (SELECT 0 p, * FROM e UNION ALL SELECT 1, s, lower(d), ' ' || upper(t), lower(f), y FROM e WHERE y > 1995 AND d <> '__NO_REFS__'), k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(s)), lower(trim(d)), CASE WHEN d = '' THEN lower(trim(t)) END, CASE WHEN d = '' THEN lower(trim(f)) END, CASE WHEN d = '' THEN y END ORDER BY p, s, d, t, f, y) r FROM u WHERE d <> '__NO_REFS__') SELECT s source_doi, d ref_doi, t ref_title, f ref_first_author, y ref_year FROM k WHERE r = 1")
 def _(edges):
-    d = F.when(C("ref_id") % 10 == 0, "__NO_REFS__").when(C("ref_id") % 3 == 0, "").otherwise(F.concat(F.lit("10.1/"), C("ref_id").cast("string")))
-    e = edges.select(C("source_id").cast("string").alias("source_doi"), d.alias("ref_doi"), F.concat(F.lit("T"), (C("ref_id") % 7).cast("string")).alias("ref_title"), "ref_year")
-    out = O.merge_citations([e, e.where("ref_year > 1995")], "__NO_REFS__")
-    return out.select("source_doi", "ref_doi", *[F.when(C("ref_doi") == "", C(c)).alias(c) for c in ("ref_title", "ref_year")])
+    """Two sources of citations, the second with other cases and blanks: its rows go where the first has the key."""
+    d = F.when(C("ref_id") % 10 == 0, "__NO_REFS__").when(C("ref_id") % 3 == 0, "").otherwise(F.concat(F.lit("10.1/A"), C("ref_id").cast("string")))
+    title, author = (F.concat(F.lit(w), (C("ref_id") % k).cast("string")) for w, k in (("T", 7), ("Author ", 5)))
+    e = edges.select(C("source_id").cast("string").alias("source_doi"), d.alias("ref_doi"), title.alias("ref_title"), author.alias("ref_first_author"), "ref_year")
+    again = e.where("ref_year > 1995 and ref_doi <> '__NO_REFS__'").select("source_doi", F.lower("ref_doi").alias("ref_doi"), F.concat(F.lit(" "), F.upper("ref_title")).alias("ref_title"), F.lower("ref_first_author").alias("ref_first_author"), "ref_year")
+    return O.merge_citations([e, again], "__NO_REFS__")
 
 
 @op("ST_03_intersection", "works", "labels", sql="SELECT work_id FROM works INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
