@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.components import components
 from quillspark.operators.relational import numbered
 from quillspark.session import saved
 
@@ -110,10 +111,28 @@ def blocked_match(refs: DataFrame, works: DataFrame, score, least: float) -> Dat
     return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("ref_id", "work_id", "score")
 
 
-def near_duplicate_groups(works: DataFrame, prefix: int = 200, least: int = 5) -> DataFrame:
-    """work_id, group: works that share the start of their normalised abstract, groups of at least ``least``, numbered by
-    falling size."""
-    k = saved(works.select("work_id", F.substring(T.ascii_words(C("abstract")), 1, prefix).alias("key")).where(F.length("key") >= 50))
-    n = k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("work_id").alias("first")).where(C("n") >= least)
-    n = numbered(n, [F.desc("n"), C("first")], "group")
-    return k.join(n, "key").select("work_id", "group")
+def near_duplicate_groups(works: DataFrame, prefix: int = 200, least: int = 5, least_abstract: int = 50, overlap: float = 0.5) -> DataFrame:
+    """work_id, group: works linked by the start of their normalised abstract or by title, groups numbered by falling size
+    (ties to the smaller first work).
+
+    Abstracts of ``least_abstract`` characters or more link works with the same start, titles of ten normalised characters or
+    more those with the same title, where at least ``least`` works do. A title counts only if a share of ``overlap`` of its
+    works have an abstract whose start another of them has too; empty ones count against it. Groups are the components of both
+    kinds of links together. A work is an edge from its abstract's first work to its title's, so components run over distinct
+    pairs of first works, not over works.
+    """
+    start = F.substring(T.ascii_words(C("abstract")), 1, prefix)
+    k = saved(works.select("work_id", start.alias("start"), F.length("abstract").alias("chars"), T.ascii_words(C("title")).alias("title")))
+    count = F.count(F.lit(1))
+    a = k.where((C("chars") >= least_abstract) & (C("start") != "")).groupBy("start").agg(count.alias("n"), F.min("work_id").alias("by_start")).where(C("n") >= least).drop("n")
+    s = k.where(F.length("title") >= 10).groupBy("title", "start").agg(count.alias("n"), F.min("work_id").alias("first"))
+    shared = F.sum(F.when((C("start") != "") & (C("n") > 1), C("n")).otherwise(0))
+    t = s.groupBy("title").agg(F.sum("n").alias("n"), shared.alias("shared"), F.min("first").alias("by_title")).where((C("n") >= least) & (C("shared") >= overlap * C("n"))).drop("n", "shared")
+    a = k.where(C("chars") >= least_abstract).select("work_id", "start").join(a, "start").select("work_id", "by_start")
+    t = k.select("work_id", "title").join(t, "title").select("work_id", "by_title")
+    m = saved(a.join(t, "work_id", "full_outer"))
+    labels = components(m.select(C("by_start").alias("a"), C("by_title").alias("b")).distinct())
+    m = m.withColumn("node", F.coalesce("by_start", "by_title")).join(labels, "node", "left").select("work_id", F.coalesce("label", "node").alias("label"))
+    m = saved(m)
+    n = m.groupBy("label").agg(count.alias("n"), F.min("work_id").alias("first")).where(C("n") >= least)
+    return m.join(numbered(n, [F.desc("n"), C("first")], "group"), "label").select("work_id", "group")

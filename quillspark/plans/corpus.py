@@ -111,9 +111,9 @@ def _(works):
     return a.join(b, "k", "full_outer").na.fill(0)
 
 
-@op("JN_18_jaccard_pairs", "edges", sql="WITH e AS (SELECT DISTINCT source_id, ref_id FROM edges WHERE source_id < 300), n AS (SELECT source_id, count(*) n FROM e GROUP BY 1), p AS (SELECT a.source_id a, b.source_id b, count(*) k FROM e a JOIN e b ON a.ref_id = b.ref_id AND a.source_id < b.source_id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) jaccard FROM p JOIN n x ON x.source_id = a JOIN n y ON y.source_id = b")
+@op("JN_18_jaccard_pairs", "edges", sql="WITH e AS (SELECT DISTINCT source_id, ref_id FROM edges), n AS (SELECT source_id, count(*) n FROM e GROUP BY 1), p AS (SELECT a.source_id a, b.source_id b, count(*) k FROM e a JOIN e b ON a.ref_id = b.ref_id AND a.source_id < b.source_id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) jaccard FROM p JOIN n x ON x.source_id = a JOIN n y ON y.source_id = b")
 def _(edges):
-    e = edges.where("source_id < 300").select("source_id", "ref_id").distinct()
+    e = edges.select("source_id", "ref_id").distinct()
     n = e.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     p = R.pairs_within(e, "ref_id", "source_id").withColumnRenamed("n", "k")
     p = p.join(n.select(C("source_id").alias("a"), C("n").alias("na")), "a").join(n.select(C("source_id").alias("b"), C("n").alias("nb")), "b")
@@ -235,9 +235,20 @@ def _(works, labels):
     return works.join(labels, C("doc_id") == C("work_id")).groupBy((C("cited_by_count") >= 50).alias("decision"), "quality").agg(F.count(F.lit(1)).alias("n"))
 
 
-@op("LX_07_near_duplicates", "works", sql=f"WITH k AS (SELECT work_id, substr({_ASCII}, 1, 200) key FROM works), n AS (SELECT key, count(*) n, min(work_id) f FROM k WHERE length(key) >= 50 GROUP BY 1 HAVING count(*) >= 2), g AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) g FROM n) SELECT work_id, g AS \"group\" FROM k JOIN g USING (key)")
+_WORDS = r"coalesce(trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')), '')"
+
+
+@op("LX_07_near_duplicates", "works", sql=f"""WITH k AS (SELECT work_id, substr({_WORDS.format(c="abstract")}, 1, 200) s, length(abstract) c, {_WORDS.format(c="substr(title, 1, 24)")} t FROM works),
+a AS (SELECT s, min(work_id) f FROM k WHERE c >= 50 AND s <> '' GROUP BY 1 HAVING count(*) >= 2), u AS (SELECT t, s, count(*) n, min(work_id) f FROM k WHERE length(t) >= 10 GROUP BY 1, 2),
+v AS (SELECT t, min(f) f FROM u GROUP BY 1 HAVING sum(n) >= 2 AND coalesce(sum(n) FILTER (WHERE s <> '' AND n > 1), 0) >= 0.5 * sum(n)),
+m AS (SELECT work_id, CASE WHEN c >= 50 THEN a.f END x, v.f y FROM k LEFT JOIN a USING (s) LEFT JOIN v USING (t) WHERE (a.f IS NOT NULL AND c >= 50) OR v.f IS NOT NULL),
+e AS (SELECT DISTINCT x, y FROM m WHERE x <> y), h AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+l AS (WITH RECURSIVE r AS (SELECT DISTINCT coalesce(x, y) node, coalesce(x, y) got FROM m UNION SELECT node, h.y FROM r JOIN h ON h.x = got) SELECT node, min(got) label FROM r GROUP BY 1),
+w AS (SELECT work_id, label FROM m JOIN l ON node = coalesce(x, y)), g AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, min(work_id)) g FROM w GROUP BY 1 HAVING count(*) >= 2)
+SELECT work_id, g AS "group" FROM w JOIN g USING (label)""")
 def _(works):
-    return O.near_duplicate_groups(works, least=2).withColumn("group", C("group").cast("long"))
+    """Titles are cut to 24 characters here, so that some of them join what abstracts keep apart."""
+    return O.near_duplicate_groups(works.withColumn("title", F.substring("title", 1, 24)), least=2).withColumn("group", C("group").cast("long"))
 
 
 @op("JN_06_internal_edges", "inner_edges", "orders", sql="SELECT source_id, ref_id FROM inner_edges WHERE source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND ref_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

@@ -6,6 +6,7 @@ from quillspark.functions import text as T
 from quillspark.operators import analysis as A
 from quillspark.operators import corpus as O
 from quillspark.operators import relational as R
+from quillspark.operators.components import components
 from quillspark.plans import kernels, more
 
 
@@ -32,10 +33,40 @@ def test_chunks(spark):
     assert [r[0] for r in df.select(T.chunks(F.col("x"), 4, 1)).collect()] == [["abcd", "defg", "ghij"], []]
 
 
-def test_generic_title_is_no_group(spark):
+def _linked(edges):
+    label = {v: v for e in edges for v in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+def test_components(spark):
+    order = np.random.default_rng(1).permutation(1000).tolist()
+    paths = [(a, b) for a, b in zip(order, order[1:], strict=False) if a % 50]
+    odd = [(5000, 5000), (6002, 6001), (6001, 6002), *[(7000, 7001 + i) for i in range(50)], *[(8100, 8000 + i) for i in range(50)]]
+    edges = paths + odd
+    got = {r.node: r.label for r in components(spark.createDataFrame([*edges, (None, 3), (9, None)], "a long, b long")).collect()}
+    want = _linked([e for e in edges if e[0] != e[1]])
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_by_abstract_and_title(spark):
     text = "conference urgent paper on the very long subject of duplicate editorials " * 4
-    df = spark.createDataFrame([(i, text + "!" * i) for i in range(6)] + [(9, "another abstract that nobody shares, long enough to count as one here")], "work_id long, abstract string")
-    assert {r.work_id for r in O.near_duplicate_groups(df).collect()} == set(range(6))
+    rows = [(i, "A title that they share", text + "!" * i) for i in range(6)]  # one start
+    rows += [(10 + i, "A title that they share", f"number {i} has an abstract of its own that nobody else has at all") for i in range(3)]  # joined by title
+    rows += [(20 + i, "References", f"abstract {i} of a generic title, unlike the others of that same title") for i in range(6)]  # not validated
+    rows += [(30 + i, "Editorial note", None) for i in range(6)] + [(40, None, text + " "), (41, "short", "tiny")]
+    rows += [(50 + i, "Another long title", text.replace("urgent", "second")) for i in range(5)]
+    df = spark.createDataFrame(rows, "work_id long, title string, abstract string")
+    got = {r.work_id: r.group for r in O.near_duplicate_groups(df).collect()}
+    assert got == {**dict.fromkeys([*range(6), 10, 11, 12, 40], 1), **dict.fromkeys(range(50, 55), 2)}
+    assert O.near_duplicate_groups(df.where("work_id < 0")).count() == 0
 
 
 def test_crossfill_takes_first_longest(spark):
