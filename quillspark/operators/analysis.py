@@ -65,6 +65,55 @@ def bursts(df: DataFrame, key: str, text: str, year: str, top: int = 100, z: flo
     return full.groupBy(year).agg(F.sum(C("hit").cast("int")).alias("value"))
 
 
+def burst_null(df: DataFrame, key: str, text: str, year: str, top: int = 100, z: float = 2.0, min_df: int = 3, n: int = 500, rows: int = 20_000, block: int = 100) -> DataFrame:
+    """year, observed, null_mean, null_std, z_score, p_value: ``bursts`` against ``n`` shuffles of the documents' years.
+
+    Years are shuffled inside random buckets of about ``rows`` documents, whose number grows with the table (one bucket, a plain
+    shuffle, up to that many). A task shuffles one bucket for one block of replicates and sends up counts by replicate, year and
+    term, which are all that bursts need, so no task sees the corpus. Documents without a year take no part.
+    """
+    t = tokens(df, key, text)
+    vocabulary = t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("df")).where(C("df") >= min_df).orderBy(F.desc("n"), "term").limit(top)
+    index = F.broadcast(vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i")))
+    counts = t.join(index, "term").groupBy(key, "i").agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.collect_list(F.struct("i", "c")).alias("m"))
+    docs = saved(df.where(C(year).isNotNull()).select(key, C(year).cast("int").alias("year")).join(counts, key, "left"))
+    size = docs.groupBy("year").agg(F.count(F.lit(1)).alias("d"))
+    buckets = max(1, -(-docs.count() // rows))
+
+    def one(group, g):
+        g = g.sort_values(key)
+        years, y = np.unique(g.year.to_numpy(), return_inverse=True)
+        m = [() if v is None else v for v in g.m]
+        doc = np.repeat(np.arange(len(g)), [len(v) for v in m])
+        term, c = (np.array([x[f] for v in m for x in v], np.int64) for f in ("i", "c"))
+        out = []
+        for rep in range(group[1] * block, min(n, (group[1] + 1) * block)):
+            r = np.random.default_rng([rep, group[0]])
+            out.append(np.bincount(y[r.permutation(len(y))][doc] * top + term, c, len(years) * top))
+        at = np.arange(len(years) * top)
+        f = pd.DataFrame({"rep": np.repeat(np.arange(len(out)) + group[1] * block, len(at)), "year": np.tile(years[at // top], len(out)), "i": np.tile(at % top, len(out)), "c": np.concatenate(out).astype(np.int64)})
+        return f[f.c > 0]
+
+    bucket = F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)).alias("bucket")
+    dealt = docs.select(key, "year", "m", bucket, F.explode(F.sequence(F.lit(0), F.lit(-(-n // block) - 1))).alias("block"))
+    dealt = dealt.groupBy("bucket", "block").applyInPandas(one, "rep long, year int, i int, c long")
+    seen = docs.where("m is not null").select("year", F.inline("m")).select(F.lit(-1).cast("long").alias("rep"), "year", C("i").cast("int").alias("i"), C("c").cast("long").alias("c"))
+    f = dealt.unionByName(seen).groupBy("rep", "year", "i").agg(F.sum("c").alias("c")).join(F.broadcast(size), "year").withColumn("f", C("c") / C("d"))
+    # years in which a term is absent count as zeros: sums over present years and the number of all years give its deviation
+    ny = size.agg(F.count(F.lit(1)).alias("ny"))
+    s = f.groupBy("rep", "i").agg(F.collect_list(F.struct("year", "f")).alias("l")).crossJoin(F.broadcast(ny))
+    total = lambda g: F.aggregate("l", F.lit(0.0), lambda a, x: a + g(x["f"]))
+    s = s.withColumn("mean", total(lambda x: x) / C("ny"))
+    s = s.withColumn("sd", F.sqrt((total(lambda x: (x - C("mean")) * (x - C("mean"))) + (C("ny") - F.size("l")) * C("mean") * C("mean")) / C("ny")))
+    hits = s.where("sd > 0").select("rep", "mean", "sd", F.inline("l")).where((C("f") - C("mean")) / C("sd") > z).groupBy("rep", "year").agg(F.count(F.lit(1)).alias("v"))
+    # replicates without a burst in a year have no row: they count as zeros
+    seen = hits.where("rep = -1").select("year", C("v").alias("observed"))
+    d = size.select("year").join(seen, "year", "left").select("year", F.coalesce("observed", F.lit(0)).alias("observed"))
+    d = d.join(hits.where("rep >= 0").select("year", "v"), "year", "left").groupBy("year").agg(F.max("observed").alias("observed"), F.coalesce(F.sum("v"), F.lit(0)).alias("s1"), F.coalesce(F.sum(C("v") * C("v")), F.lit(0)).alias("s2"), F.count("v").alias("k"), F.count(F.when(C("v") >= C("observed"), 1)).alias("above"))
+    d = d.select("year", C("observed").cast("double").alias("observed"), (C("s1") / n).alias("null_mean"), F.sqrt(F.greatest(C("s2") / n - C("s1") * C("s1") / (n * n), F.lit(0.0))).alias("null_std"), ((C("above") + F.when(C("observed") <= 0, n - C("k")).otherwise(0)) / n).alias("p_value"))
+    return d.withColumn("z_score", F.when(C("null_std") > 0, (C("observed") - C("null_mean")) / C("null_std")).otherwise(0.0))
+
+
 def log_odds(counts: DataFrame, before: str, after: str) -> DataFrame:
     """Log odds of each term after against before, with the corpus as Dirichlet prior of the vocabulary's size."""
     counts = saved(counts)

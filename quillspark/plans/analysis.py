@@ -14,7 +14,7 @@ from .relational import C, r6
 Q: dict = {}
 SQL: dict[str, str] = {}
 _TOK = "SELECT work_id, year, lang, unnest(regexp_extract_all(lower(abstract), '[\\p{L}\\p{M}\\p{N}_]{2,}')) term FROM works"
-_TFIDF = f"tok AS ({_TOK}), tf AS (SELECT work_id, term, count(*) tf FROM tok GROUP BY 1, 2), voc AS (SELECT term, count(*) df FROM tf GROUP BY 1 HAVING count(*) >= 20 ORDER BY sum(tf) DESC, term LIMIT 300), w AS (SELECT work_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM works)) / (1 + df)) + 1) w FROM tf JOIN voc USING (term)), vec AS (SELECT work_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY work_id)) weight FROM w)"
+_TFIDF = f"tok AS ({_TOK}), tf AS (SELECT work_id, term, count(*) tf FROM tok GROUP BY 1, 2), voc AS (SELECT term, count(*) df FROM tf GROUP BY 1 HAVING count(*) >= 3 ORDER BY sum(tf) DESC, term LIMIT 5000), w AS (SELECT work_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM works)) / (1 + df)) + 1) w FROM tf JOIN voc USING (term)), vec AS (SELECT work_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY work_id)) weight FROM w)"
 _E = "e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] v FROM embeddings)"
 _WIN = "b AS (SELECT min(year) lo, max(year) hi FROM {t}), a AS (SELECT w.w AS width, CAST(y.y AS INT) anchor FROM b, (SELECT unnest([1, 2]) w) w, (SELECT unnest(range(1980, 2010)) y) y WHERE y.y >= lo + w.w AND y.y < hi - w.w)"
 
@@ -33,7 +33,7 @@ def op(name: str, *needs: str, sql: str | None = None):
 
 @op("LX_01_tfidf", "works", sql=f"WITH {_TFIDF} SELECT work_id, term, round(weight, 6) weight FROM vec")
 def _(works):
-    return A.tfidf(works, "work_id", "abstract", 20, 300).withColumn("weight", F.round("weight", 6))
+    return A.tfidf(works, "work_id", "abstract").withColumn("weight", F.round("weight", 6))
 
 
 @op("LX_02_top_terms_by_year", "works", sql=f"WITH tok AS ({_TOK}), n AS (SELECT year, term, count(*) n FROM tok GROUP BY 1, 2) SELECT year, term, n FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, term) r FROM n) WHERE r <= 25")
@@ -49,14 +49,14 @@ def _(works):
     return t.select("work_id", F.explode(F.array_distinct(pairs)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 25")
 
 
-_SHIFT = f"WITH {_TFIDF} SELECT term, round(coalesce(sum(weight) FILTER (WHERE year >= 1998), 0) / (SELECT count(*) FROM works WHERE year >= 1998) - coalesce(sum(weight) FILTER (WHERE year < 1998), 0) / (SELECT count(*) FROM works WHERE year < 1998), 6) diff, count(*) FILTER (WHERE year < 1998) n_before, count(*) FILTER (WHERE year >= 1998) n_after FROM vec JOIN works USING (work_id) GROUP BY 1"
+_SHIFT = f"WITH {_TFIDF} SELECT term, round(coalesce(sum(weight) FILTER (WHERE year >= 1998), 0) / (SELECT count(*) FROM works WHERE year >= 1998) - coalesce(sum(weight) FILTER (WHERE year < 1998), 0) / (SELECT count(*) FROM works WHERE year < 1998), 6) + 0 diff, count(*) FILTER (WHERE year < 1998) n_before, count(*) FILTER (WHERE year >= 1998) n_after FROM vec JOIN works USING (work_id) GROUP BY 1"
 
 
 @op("LX_04_term_shift", "works", sql=_SHIFT)
 def _(works):
     late = C("year") >= 1998
     n = works.agg(F.count(F.when(late, 1)).alias("na"), F.count(F.when(~late, 1)).alias("nb"))
-    d = A.tfidf(works, "work_id", "abstract", 20, 300).join(works.select("work_id", "year"), "work_id").crossJoin(F.broadcast(n))
+    d = A.tfidf(works, "work_id", "abstract").join(works.select("work_id", "year"), "work_id").crossJoin(F.broadcast(n))
     z = lambda x: F.coalesce(x, F.lit(0.0))
     return d.groupBy("term").agg(r6(z(F.sum(F.when(late, C("weight")))) / F.max("na") - z(F.sum(F.when(~late, C("weight")))) / F.max("nb"), "diff"), F.count(F.when(~late, 1)).alias("n_before"), F.count(F.when(late, 1)).alias("n_after"))
 
@@ -90,7 +90,7 @@ x AS (SELECT n.anchor, n.width, coalesce(b, 0) / nb + 1e-10 b, coalesce(f, 0) /
 SELECT anchor, CAST(width AS INT) width, round(sqrt(sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2), 6) value FROM y GROUP BY 1, 2""")
 def _(works):
     members = R.windows_before_after(works.select("work_id", "year"), "year", (1, 2), 1)
-    return A.lexical_js(A.tfidf(works, "work_id", "abstract", 20, 300), members, "work_id", ["anchor", "width"]).withColumn("value", F.round("value", 6))
+    return A.lexical_js(A.tfidf(works, "work_id", "abstract"), members, "work_id", ["anchor", "width"]).withColumn("value", F.round("value", 6))
 
 
 @op("DV_L3_bursts", "works", sql=f"WITH tok AS ({_TOK}), voc AS (SELECT term FROM tok GROUP BY 1 HAVING count(DISTINCT work_id) >= 3 ORDER BY count(*) DESC, term LIMIT 100), d AS (SELECT year, count(*) d FROM works GROUP BY 1), n AS (SELECT year, term, count(*) n FROM tok JOIN voc USING (term) GROUP BY 1, 2), f AS (SELECT d.year, voc.term, coalesce(n, 0) / d f FROM d CROSS JOIN voc LEFT JOIN n ON n.year = d.year AND n.term = voc.term), z AS (SELECT year, stddev_pop(f) OVER w > 0 AND (f - avg(f) OVER w) / nullif(stddev_pop(f) OVER w, 0) > 2 hit FROM f WINDOW w AS (PARTITION BY term)) SELECT year, count(*) FILTER (WHERE hit) value FROM z GROUP BY 1")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import kernels as K
+from quillspark.operators import analysis as A
 from quillspark.operators import relational as R
+from quillspark.session import saved
 
 from . import proxy
 
@@ -50,15 +52,50 @@ def classifier_test(embeddings: DataFrame, widths: tuple[int, ...] = (2, 3)) ->
     return window_members(embeddings, widths).groupBy("anchor", "width").applyInPandas(one, "anchor int, width int, value double, auc_std double")
 
 
-def permutations(embeddings: DataFrame, n: int = 200, widths: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """Energy distance against label permutations: observed, null_mean, null_std, z_score, p_value."""
+NULL = "anchor int, width int, observed double, null_mean double, null_std double, z_score double, p_value double"
+REPLICATES = 500
+
+
+def null_model(members: DataFrame, null, n: int = REPLICATES, block: int = 50) -> DataFrame:
+    """anchor, width, observed, null_mean, null_std, z_score, p_value (share of the null at or above) of each window.
+
+    ``null(g, count, seed)`` gives a window's statistic and ``count`` values of it under permutations. A task makes one block of
+    replicates, with a seed of its window and block: a window's rows (bounded by ``MOST``, or a window's edges) are sent once a
+    block, and the values come back a row each. Undefined values don't count; where none is left, or the statistic itself is
+    undefined, all figures are null.
+    """
     def one(key, g):
+        seen, values = null(g, min(block, n - key[2] * block), [50_000 + 100 * key[0] + key[1], key[2]])
+        return pd.DataFrame({"anchor": key[0], "width": key[1], "seen": float(seen), "value": np.asarray(values if len(values) else [np.nan], float)})
+
+    m = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // block) - 1))))
+    v = m.groupBy("anchor", "width", "block").applyInPandas(one, "anchor int, width int, seen double, value double")
+    v = v.select("anchor", "width", *[F.when(~F.isnan(c), C(c)).alias(c) for c in ("seen", "value")])
+    d = v.groupBy("anchor", "width").agg(F.max("seen").alias("observed"), F.avg("value").alias("null_mean"), F.stddev_pop("value").alias("null_std"), F.avg(F.when(C("value").isNotNull(), (C("value") >= C("seen")).cast("double"))).alias("p_value"))
+    ok = C("observed").isNotNull() & C("null_mean").isNotNull()
+    z = F.when(C("null_std") > 0, (C("observed") - C("null_mean")) / C("null_std")).otherwise(0.0)
+    return d.withColumn("z_score", z).select("anchor", "width", *[F.when(ok, C(c)).alias(c) for c in ("observed", "null_mean", "null_std", "z_score", "p_value")])
+
+
+def semantic_null(statistic, reduce=None):
+    """A null of ``statistic`` by permuted sides; ``reduce`` maps the pooled rows once."""
+    def null(g, count, seed):
         x, y = _sides(g)
-        seen, null = K.energy(x, y), K.energy_permutations(x, y, n, 50_000 + 100 * key[0] + key[1])
-        sd = float(null.std())
-        return pd.DataFrame({"anchor": [key[0]], "width": [key[1]], "observed": [seen], "null_mean": [float(null.mean())], "null_std": [sd], "z_score": [(seen - float(null.mean())) / sd if sd > 0 else 0.0], "p_value": [float((null >= seen).mean())]})
+        z, r = np.vstack([x, y]), np.random.default_rng(seed)
+        z = reduce(z) if reduce else z
+        deal = lambda o: statistic(z[o[: len(x)]], z[o[len(x) :]])
+        return deal(np.arange(len(z))), [deal(r.permutation(len(z))) for _ in range(count)]
 
-    return window_members(embeddings, widths).groupBy("anchor", "width").applyInPandas(one, "anchor int, width int, observed double, null_mean double, null_std double, z_score double, p_value double")
+    return null
+
+
+def permutations(embeddings: DataFrame, n: int = REPLICATES, widths: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Energy distance against label permutations of one pooled distance matrix."""
+    def null(g, count, seed):
+        x, y = _sides(g)
+        return K.energy(x, y), K.energy_permutations(x, y, count, seed)
+
+    return null_model(window_members(embeddings, widths), null, n, 250)
 
 
 def bootstrap(embeddings: DataFrame, replicates: int = 200, fraction: float | None = None, widths: tuple[int, ...] = (2,)) -> DataFrame:
@@ -78,6 +115,28 @@ def bootstrap(embeddings: DataFrame, replicates: int = 200, fraction: float | No
     return m.groupBy("anchor", "width", "replicate").applyInPandas(one, "anchor int, width int, replicate int, value double")
 
 
+def lexical_members(works, terms=5000, widths=(1, 2)):
+    """anchor, width, side (before, now, after), work_id, m: the works of each window by seeded hash, at most
+    ``MOST`` a side, with their TF-IDF weights as a map over a vocabulary of ``terms``."""
+    weights = saved(A.tfidf(works, "work_id", "abstract", 3, terms))
+    index = weights.select("term").distinct().select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))
+    rows = weights.join(F.broadcast(index), "term").groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
+    years = works.select("work_id", "year")
+    m = R.windows_before_after(years, "year", widths, 1).select("work_id", "anchor", "width", "side")
+    now = m.select("anchor", "width").distinct().join(years.withColumnRenamed("year", "anchor"), "anchor").select("work_id", "anchor", "width", F.lit("now").alias("side"))
+    w = Window.partitionBy("anchor", "width", "side").orderBy(F.xxhash64("work_id"), "work_id")
+    some = m.unionByName(now).withColumn("_r", F.row_number().over(w)).where(C("_r") <= MOST).drop("_r")
+    return some.join(rows, "work_id")
+
+
+def dense(maps, terms=5000):
+    x = np.zeros((len(maps), terms))
+    for i, m in enumerate(maps):
+        m = dict(m)
+        x[i, list(m)] = list(m.values())
+    return x
+
+
 def graph_series(edges: DataFrame, method: str) -> DataFrame:
     """anchor, width, value: a graph measure's change from before to after each anchor. ``edges``: anchor, width, side,
     source_id, ref_id."""

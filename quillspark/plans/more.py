@@ -223,18 +223,14 @@ def _(papers):
     return p.join(n, ["year", "venue"], "left").withColumn("significant", F.coalesce(C("p") < 0.05, F.lit(False))).drop("p")
 
 
-def _nulls(embeddings, statistic, n):
-    def one(key, g):
-        x, y = kernels._sides(g)
-        seen, mean, sd, z, p = KN.permutation_test(x, y, statistic, n, 50_000 + 100 * key[0] + key[1])
-        return pd.DataFrame({"anchor": [key[0]], "width": [key[1]], "observed": [seen], "null_mean": [mean], "null_std": [sd], "z_score": [z], "p_value": [p]})
-
-    return kernels.window_members(embeddings, (2,)).groupBy("anchor", "width").applyInPandas(one, "anchor int, width int, observed double, null_mean double, null_std double, z_score double, p_value double")
+def _mmd_null(g, count, seed):
+    seen, values = KN.mmd_permutations(*kernels._sides(g), count, seed)
+    return max(seen, 0.0), np.maximum(values, 0)
 
 
-for _m in ("S1", "S3", "S4"):
-    op(f"UN_02_null_{_m}", "embeddings")(lambda embeddings, _m=_m: _nulls(embeddings, KN.SEMANTIC[_m], 30))
-op("UN_10_null_c2st", "embeddings")(lambda embeddings: _nulls(embeddings, lambda a, b: KN.c2st(a, b, 16)[0], 20))
+_NULLS = {"UN_02_null_S1": (_mmd_null, 250), "UN_02_null_S3": (kernels.semantic_null(KN.sliced_wasserstein), 25), "UN_02_null_S4": (kernels.semantic_null(KN.frechet), 25), "UN_10_null_c2st": (kernels.semantic_null(lambda a, b: KN.c2st(a, b, 16)[0], lambda z: KN.pca(z, 16)), 25)}
+for _m, (_f, _b) in _NULLS.items():
+    op(_m, "embeddings")(lambda embeddings, _f=_f, _b=_b: kernels.null_model(kernels.window_members(embeddings, (2,)), _f, block=_b))
 
 
 @op("UN_18_sensitivity_grid", "embeddings")

@@ -202,61 +202,27 @@ def _(papers):
 # Null models whose permutations are matrix products.
 
 
-def _null_row(key, seen, null):
-    sd = float(null.std())
-    return pd.DataFrame({"anchor": [key[0]], "width": [key[1]], "observed": [seen], "null_mean": [float(null.mean())], "null_std": [sd], "z_score": [(seen - float(null.mean())) / sd if sd > 0 else 0.0], "p_value": [float((null >= seen).mean())]})
-
-
-_NULL = "anchor int, width int, observed double, null_mean double, null_std double, z_score double, p_value double"
-
-
 @op("UN_03_kernel_permutations", "embeddings")
 def _(embeddings):
-    """Squared MMD against 200 label permutations of one pooled kernel matrix."""
-    def one(key, g):
-        seen, null = KN.mmd_permutations(*kernels._sides(g), 200, 50_000 + 100 * key[0] + key[1])
-        return _null_row(key, seen, null)
-
-    return kernels.window_members(embeddings, (2, 3)).groupBy("anchor", "width").applyInPandas(one, _NULL)
+    """Squared MMD against label permutations of one pooled kernel matrix."""
+    return kernels.null_model(kernels.window_members(embeddings, (2, 3)), lambda g, n, seed: KN.mmd_permutations(*kernels._sides(g), n, seed), block=250)
 
 
-def _lexical_members(works, terms=200, widths=(1, 2)):
-    """anchor, width, side (before, now, after), work_id, m: the works of each window by seeded hash, at most
-    ``kernels.MOST`` a side, with their TF-IDF weights as a map over a vocabulary of ``terms``."""
-    weights = saved(A.tfidf(works, "work_id", "abstract", 20, terms))
-    index = weights.select("term").distinct().select("term", (F.row_number().over(R.Window.orderBy("term")) - 1).alias("i"))
-    rows = weights.join(F.broadcast(index), "term").groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    years = works.select("work_id", "year")
-    m = R.windows_before_after(years, "year", widths, 1).select("work_id", "anchor", "width", "side")
-    now = m.select("anchor", "width").distinct().join(years.withColumnRenamed("year", "anchor"), "anchor").select("work_id", "anchor", "width", F.lit("now").alias("side"))
-    w = R.Window.partitionBy("anchor", "width", "side").orderBy(F.xxhash64("work_id"), "work_id")
-    some = m.unionByName(now).withColumn("_r", F.row_number().over(w)).where(C("_r") <= kernels.MOST).drop("_r")
-    return some.join(rows, "work_id")
-
-
-def _dense(maps, terms=200):
-    x = np.zeros((len(maps), terms))
-    for i, m in enumerate(maps):
-        m = dict(m)
-        x[i, list(m)] = list(m.values())
-    return x
-
-
-def _lexical_null(statistic, n=100):
-    def one(key, g):
+def _lexical_null(works, statistic):
+    def null(g, count, seed):
         g = g.sort_values("work_id")
-        past, now, future = (_dense(g.m[g.side == s].tolist()) for s in ("before", "now", "after"))
+        past, now, future = (kernels.dense(g.m[g.side == s].tolist()) for s in ("before", "now", "after"))
         if not len(past) or not len(future) or not len(now):
-            return pd.DataFrame({"anchor": [key[0]], "width": [key[1]], **{c: [None] for c in ("observed", "null_mean", "null_std", "z_score", "p_value")}})
-        pool, r = np.vstack([past, future]), np.random.default_rng(50_000 + 100 * key[0] + key[1])
-        side = np.zeros((n + 1, len(pool)))
+            return np.nan, []
+        pool, r = np.vstack([past, future]), np.random.default_rng(seed)
+        side = np.zeros((count + 1, len(pool)))
         side[0, : len(past)] = 1
-        for i in range(1, n + 1):
+        for i in range(1, count + 1):
             side[i, r.permutation(len(pool))[: len(past)]] = 1
         values = statistic(side @ pool / len(past), (1 - side) @ pool / len(future), now)
-        return _null_row(key, float(values[0]), values[1:])
+        return values[0], values[1:]
 
-    return one
+    return kernels.null_model(kernels.lexical_members(works), null, block=250)
 
 
 def _shares(x):
@@ -277,19 +243,18 @@ def _resonance_rows(a, b, now):
     return kl(a) - kl(b)
 
 
-op("UN_04_lexical_null", "works")(lambda works: _lexical_members(works).groupBy("anchor", "width").applyInPandas(_lexical_null(_js_rows), _NULL))
-op("UN_05_resonance_null", "works")(lambda works: _lexical_members(works).groupBy("anchor", "width").applyInPandas(_lexical_null(_resonance_rows), _NULL))
+op("UN_04_lexical_null", "works")(lambda works: _lexical_null(works, _js_rows))
+op("UN_05_resonance_null", "works")(lambda works: _lexical_null(works, _resonance_rows))
 
 
 @op("UN_09_null_G9", "inner_edges")
 def _(edges):
     """Communities of the union are found once; permutations deal its nodes to sides, so each is a count by community."""
-    def one(key, g):
+    def null(g, count, seed):
         a, b = (list(zip(h.source_id, h.ref_id, strict=True)) for h in (g[g.side == "before"], g[g.side == "after"]))
-        seen, null = KN.community_permutations(a, b, 100, 50_000 + 100 * key[0] + key[1])
-        return _null_row(key, seen, null)
+        return KN.community_permutations(a, b, count, seed)
 
-    return window_edges(edges).groupBy("anchor", "width").applyInPandas(one, _NULL)
+    return kernels.null_model(window_edges(edges), null, block=250)
 
 
 @op("UN_15_window_seeds", "papers", sql="WITH b AS (SELECT min(year) lo, max(year) hi FROM papers) SELECT CAST(y AS INT) AS anchor, CAST(w AS INT) width, CAST(42 + 100 * y + w AS INT) seed, CAST(50042 + 100 * y + w AS INT) permutation_seed FROM b, (SELECT unnest([1, 2]) w), (SELECT unnest(range(1900, 2100)) y) WHERE y >= lo + w AND y < hi - w")

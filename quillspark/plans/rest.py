@@ -43,7 +43,7 @@ k AS (SELECT anchor, width, side, work_id, least(sum(p * ln(p / q)), 50) kl FROM
 SELECT anchor, CAST(width AS INT) width, round(avg(kl) FILTER (WHERE side = 'b'), 6) novelty, round(avg(kl) FILTER (WHERE side = 'a'), 6) transience, round(avg(kl) FILTER (WHERE side = 'b') - avg(kl) FILTER (WHERE side = 'a'), 6) resonance FROM k GROUP BY 1, 2""")
 def _(works):
     members = R.windows_before_after(works.select("work_id", "year"), "year", (1, 2), 1)
-    d = A.novelty(A.tfidf(works, "work_id", "abstract", 20, 300), works, members, "work_id", "year")
+    d = A.novelty(A.tfidf(works, "work_id", "abstract"), works, members, "work_id", "year")
     return d.select("anchor", "width", *[r6(C(c), c) for c in ("novelty", "transience", "resonance")])
 
 
@@ -71,34 +71,34 @@ def _(edges):
 
 @op("DV_C2_c2st_lexical", "works")
 def _(works):
-    """Classifier test on TF-IDF: each window's documents by the top terms, as dense rows of a fixed width."""
-    weights = A.tfidf(works, "work_id", "abstract", 20, 60)
-    terms = weights.select("term").distinct()
-    index = terms.select("term", (F.row_number().over(R.Window.orderBy("term")) - 1).alias("i"))
-    rows = weights.join(F.broadcast(index), "term").groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    vec = rows.select("work_id", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
-    d = works.select("work_id", C("year").alias("label")).join(vec, "work_id").select(C("work_id").alias("vec_id"), "embedding", "label")
-    return kernels.classifier_test(d, (1, 2))
+    """Classifier test on TF-IDF over the whole vocabulary: rows travel as maps and are dense only inside a window's task."""
+    def one(key, g):
+        g = g.sort_values("work_id")
+        x, y = (kernels.dense(g.m[g.side == s].tolist()) for s in ("before", "after"))
+        auc, sd = KN.c2st(x, y, seed=100 * key[0] + key[1]) if min(len(x), len(y)) >= 10 else (None, None)
+        return pd.DataFrame({"anchor": [key[0]], "width": [key[1]], "value": [auc], "auc_std": [sd]})
+
+    members = kernels.lexical_members(works).where("side <> 'now'")
+    return members.groupBy("anchor", "width").applyInPandas(one, "anchor int, width int, value double, auc_std double")
 
 
-def _graph_null(edges, change, n=10):
+def _graph_null(edges, change, n=kernels.REPLICATES):
     """Nodes of the union keep their edges and swap sides; ``change`` between the subgraphs that the sides induce."""
-    def one(key, g):
-        r = np.random.default_rng(50_000 + 100 * key[0] + key[1])
-        before, after = ({v for e in zip(h.source_id, h.ref_id, strict=True) for v in e} for h in (g[g.side == "before"], g[g.side == "after"]))
-        edges = list(zip(g.source_id, g.ref_id, strict=True))
-        part = lambda keep: KN.Graph([e for e in edges if e[0] in keep and e[1] in keep])
-        value = lambda a, b: change(part(a), part(b))
-        nodes, seen, null = sorted(before | after), value(before, after), []
-        for _ in range(n):
-            o = r.permutation(len(nodes))
-            null.append(value({nodes[i] for i in o[: len(before)]}, {nodes[i] for i in o[len(before) :]}))
-        null = np.array(null)[~np.isnan(null)]
-        ok = len(null) and seen == seen
-        sd = float(null.std()) if ok else 0.0
-        return pd.DataFrame({"anchor": [key[0]], "width": [key[1]], "observed": [seen if ok else None], "null_mean": [float(null.mean()) if ok else None], "null_std": [sd if ok else None], "z_score": [((seen - float(null.mean())) / sd if sd > 0 else 0.0) if ok else None], "p_value": [float((null >= seen).mean()) if ok else None]})
-
-    return edges.groupBy("anchor", "width").applyInPandas(one, "anchor int, width int, observed double, null_mean double, null_std double, z_score double, p_value double")
+    def null(g, count, seed):
+        r = np.random.default_rng(seed)
+        nodes, ends = np.unique(g[["source_id", "ref_id"]].to_numpy(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        sides = {s: np.isin(np.arange(len(nodes)), ends[(g.side == s).to_numpy()]) for s in ("before", "after")}
+        part = lambda keep: KN.Graph(list(map(tuple, ends[keep[ends].all(1)].tolist())))
+        values = []
+        for _ in range(count):
+            o, size = r.permutation(len(nodes)), int(sides["before"].sum())
+            a, b = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+            a[o[:size]], b[o[size:]] = True, True
+            values.append(change(part(a), part(b)))
+        return change(part(sides["before"]), part(sides["after"])), values
+
+    return kernels.null_model(edges, null, n, 25)
 
 
 def _entropy(graph):
@@ -112,7 +112,7 @@ def _change(measure):
 
 
 for _n, _f in (("UN_07_null_G5", _change(KN.Graph.exponent)), ("UN_07_null_G6", _change(_entropy)), ("UN_09_null_G2", _change(KN.Graph.spectral_gap)), ("UN_07_null_G8", _change(KN.Graph.betweenness)), ("UN_08_null_G1", KN.pagerank_js)):
-    op(_n, "inner_edges")(lambda edges, _f=_f: _graph_null(window_edges(edges), _f))
+    op(_n, "inner_edges")(lambda edges, _f=_f, _n=_n: _graph_null(window_edges(edges), _f, 50 if _n == "UN_07_null_G8" else kernels.REPLICATES))
 
 
 @op("UN_13_graph_subsample", "inner_edges")
@@ -133,17 +133,7 @@ def _(edges):
 
 @op("UN_06_null_bursts", "works")
 def _(works):
-    """Document years shuffled and bursts counted again. A permutation is two numberings joined, inside each of many random
-    buckets, so no task numbers the whole corpus."""
-    bucket = F.pmod(F.xxhash64("work_id", F.lit("bucket")), F.lit(64)).alias("bucket")
-    ids = works.select("work_id", "abstract", bucket).withColumn("i", F.row_number().over(R.Window.partitionBy("bucket").orderBy("work_id")))
-    out = None
-    for rep in range(2):
-        years = works.select(C("year").alias("y"), bucket, F.xxhash64("work_id", F.lit(rep)).alias("h"))
-        years = years.select("y", "bucket", F.row_number().over(R.Window.partitionBy("bucket").orderBy("h")).alias("i"))
-        d = A.bursts(ids.join(years, ["bucket", "i"]), "work_id", "abstract", "y", top=50).select(C("y").alias("year"), "value", F.lit(rep).alias("replicate"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return A.burst_null(works, "work_id", "abstract", "year", top=50)
 
 
 @op("BK_03_robust_breaks", "papers", sql="WITH z AS (SELECT venue, year, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) z FROM (SELECT venue, year, count(*) v FROM papers GROUP BY 1, 2) WINDOW w AS (PARTITION BY venue)), p AS (SELECT venue, year FROM (SELECT *, lag(z) OVER o a, lead(z) OVER o b FROM z WINDOW o AS (PARTITION BY venue ORDER BY year)) WHERE z > 0.5 AND z > a AND z > b), c AS (SELECT DISTINCT year y FROM p) SELECT y AS year, count(DISTINCT venue) support FROM c JOIN p ON abs(p.year - y) <= 1 GROUP BY 1 HAVING count(DISTINCT venue) >= 2")
@@ -192,7 +182,7 @@ def _(edges):
 
 @op("LX_06_cluster_labels", "works", sql=f"WITH {_TFIDF}, m AS (SELECT lang, term, sum(weight) / (SELECT count(*) FROM works x WHERE x.lang = w.lang) v FROM vec JOIN works w USING (work_id) GROUP BY lang, term), o AS (SELECT term, sum(weight) / (SELECT count(*) FROM works) v FROM vec GROUP BY 1) SELECT lang, term, round(d, 6) d FROM (SELECT lang, m.term, m.v - o.v d, row_number() OVER (PARTITION BY lang ORDER BY round(m.v - o.v, 9) DESC, m.term) r FROM m JOIN o USING (term)) WHERE r <= 10")
 def _(works):
-    w = A.saved(A.tfidf(works, "work_id", "abstract", 20, 300)).join(works.select("work_id", "lang"), "work_id")
+    w = A.saved(A.tfidf(works, "work_id", "abstract")).join(works.select("work_id", "lang"), "work_id")
     n = works.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = n.agg(F.sum("n").alias("t"))
     m = w.groupBy("lang", "term").agg(F.sum("weight").alias("v")).join(F.broadcast(n), "lang")
@@ -237,11 +227,11 @@ def _(works):
 
 @op("SL_08_random_pairs", "embeddings")
 def _(embeddings):
-    """Cosine of seeded pairs inside and across labels: each row meets the next in a seeded order of its
-    random bucket, no pair list is made."""
+    """Cosine of seeded pairs inside and across labels: each row meets the next in a seeded order of its random bucket, no pair
+    list is made. Buckets hold about 20,000 rows and grow in number with the table."""
     w = R.Window.partitionBy("bucket").orderBy(F.xxhash64("vec_id", F.lit(5)))
     inside = R.Window.partitionBy("bucket", "label").orderBy(F.xxhash64("vec_id", F.lit(5)))
-    embeddings = embeddings.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(8)))
+    embeddings = embeddings.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-embeddings.count() // 20_000)))))
     cos = lambda o: A.dot("embedding", o) / (A.norm("embedding") * A.norm(o))
     d = embeddings.select("label", "embedding", F.lead("embedding").over(inside).alias("same"), F.lead("embedding").over(w).alias("other"), F.lead("label").over(w).alias("other_label"))
     return d.agg(F.avg(F.when(C("same").isNotNull(), cos("same"))).alias("within"), F.avg(F.when(C("other").isNotNull() & (C("label") != C("other_label")), cos("other"))).alias("between"))

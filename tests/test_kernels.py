@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 
 from quillspark.functions import kernels as K
+from quillspark.operators import analysis as A
+from quillspark.plans import kernels
 
 
 def normal(n, d, shift=0.0, seed=0):
@@ -93,3 +95,45 @@ def test_kernel_permutations_see_a_shift():
     assert abs(seen - K.mmd2(x, y)) < 1e-9 and (null >= seen).mean() < 0.05
     seen, null = K.community_permutations([(i, i + 1) for i in range(20)], [(i, i + 1) for i in range(100, 120)], 100, 1)
     assert (null >= seen).mean() < 0.05
+
+
+def test_null_model_blocks(spark):
+    """Values of all blocks count once each, undefined ones not at all, and a window without any has no figures."""
+    def null(g, count, seed):
+        return (float(g.x.sum()), [float(seed[1])] * (count - 1) + [float("nan")]) if seed[0] != 50_201 else (float("nan"), [])
+
+    df = spark.createDataFrame([(1, 1, 3.0), (1, 1, -1.0), (2, 1, 5.0)], "anchor int, width int, x double")
+    got = {r.anchor: r for r in kernels.null_model(df, null, 25, 10).collect()}
+    values = np.array([0.0] * 9 + [1.0] * 9 + [2.0] * 4)
+    r = got[1]
+    assert (r.observed, r.p_value) == (2.0, float((values >= 2).mean()))
+    assert np.allclose([r.null_mean, r.null_std, r.z_score], [values.mean(), values.std(), (2 - values.mean()) / values.std()])
+    assert got[2].observed is None and got[2].p_value is None
+
+
+def test_burst_null(spark):
+    """Shuffles of one bucket against a plain recount of each, several buckets against the same spread, no documents."""
+    r = np.random.default_rng(3)
+    words = [f"w{i:02d}" for i in range(12)]
+    rows = [(i, " ".join(r.choice(words[: 4 + i % 9], 6)), 2000 + i % 5) for i in range(150)] + [(900, None, 2001), (901, "w01", None)]
+    df = spark.createDataFrame(rows, "id long, text string, year int")
+    full = [x for x in rows if x[2] is not None]
+    top = 8
+    n = {w: sum((t or "").split().count(w) for _, t, _ in rows) for w in words}
+    best = sorted(words, key=lambda w: (-n[w], w))[:top]
+    years = sorted({y for *_, y in full})
+    counts = np.array([[(t or "").split().count(w) for w in best] for _, t, _ in full])
+
+    def recount(y):
+        f = np.array([counts[y == v].sum(0) / (y == v).sum() for v in years])
+        return (((f - f.mean(0)) / np.where(f.std(0) > 0, f.std(0), np.inf)) > 1.5).sum(1)
+
+    y = np.array([v for *_, v in full])
+    null = np.array([recount(y[np.random.default_rng([rep, 0]).permutation(len(y))]) for rep in range(40)])
+    got = {g.year: g for g in A.burst_null(df, "id", "text", "year", top, 1.5, n=40, block=15).collect()}
+    for k, v in enumerate(years):
+        assert got[v].observed == recount(y)[k]
+        assert np.allclose([got[v].null_mean, got[v].null_std, got[v].p_value], [null[:, k].mean(), null[:, k].std(), (null[:, k] >= recount(y)[k]).mean()])
+    many = {g.year: g for g in A.burst_null(df, "id", "text", "year", top, 1.5, n=200, rows=50).collect()}
+    assert set(many) == set(years) and all(abs(many[v].null_mean - got[v].null_mean) < 0.6 for v in years)
+    assert A.burst_null(df.where("id < 0"), "id", "text", "year", top).count() == 0
