@@ -11,6 +11,8 @@ window can be short. A sequence whose length is a power of two needs no padding,
 
 from __future__ import annotations
 
+import array
+import bisect
 import json
 import re
 import zlib
@@ -87,7 +89,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and _PLAIN.fullmatch(text) and not self.special.search(text):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            return np.frombuffer(array.array("I", self.fast.encode_ordinary(text)), np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -106,36 +108,62 @@ def choose_cuts(marks: list[int], costs: list[int], length: int = LENGTH, trunca
     but its last one full and each cut inside it costing ``truncation``.
     """
     n = len(marks)
-    best, back = [0.0] * n, [(0, 1)] * n
-    queues = [([], [0]) for _ in range(parts)]  # marks in rising order of best + mark, and the queue's head
-    enter = [0] * parts
-    key = [0.0] * n  # best + mark
+    key, back = [0.0] * n, [(0, 1)] * n  # least cost up to a mark, plus the mark
     key[0] = marks[0]
-    for j in range(1, n):
-        at, least, how = marks[j], float("inf"), (0, 1)
-        for k in range(parts):
-            queue, head = queues[k]
-            i, high = enter[k], at - k * length
-            while i < j and marks[i] < high:  # in range of k full windows and one more
-                v = key[i]
-                h = head[0]
-                while len(queue) > h and key[queue[-1]] >= v:
-                    queue.pop()
-                queue.append(i)
-                i += 1
-            enter[k] = i
-            low, h = high - length, head[0]
-            while h < len(queue) and marks[queue[h]] < low:
-                h += 1
-            head[0] = h
-            if h < len(queue):
-                i = queue[h]
-                cost = key[i] + (k + 1) * length - at + k * truncation
-                if cost < least:
-                    least, how = cost, (i, k + 1)
-        best[j] = least + costs[j]
-        key[j] = best[j] + at
-        back[j] = how
+    queues = [[0] * n for _ in range(parts)]  # marks in rising order of key
+    state = [(0, 0, 0)] * parts  # queue's head, its end, and the first mark that never entered it
+
+    def nearest(k: int, j: int, stop: int, out: list[float], how: list[tuple[int, int]]) -> None:
+        """Lower ``out`` and ``how`` of marks j to stop where k full windows and one more are cheaper."""
+        queue, (head, end, enter), base = queues[k], state[k], (k + 1) * length + k * truncation
+        for to in range(j, stop):
+            at = marks[to]
+            high = at - k * length
+            low = high - length
+            while enter < to and marks[enter] < high:
+                v = key[enter]
+                while end > head and key[queue[end - 1]] >= v:
+                    end -= 1
+                queue[end] = enter
+                end += 1
+                enter += 1
+            while head < end and marks[queue[head]] < low:
+                head += 1
+            if head < end:
+                cost = key[queue[head]] + base - at
+                if cost < out[to - j]:
+                    out[to - j], how[to - j] = cost, (queue[head], k + 1)
+        state[k] = head, end, enter
+
+    j = 1
+    while j < n:
+        # full windows reach back ``length`` tokens or more, so they never start inside this stretch of marks
+        stop = max(j + 1, bisect.bisect_left(marks, marks[j] + length, j, n))
+        more, ways = [float("inf")] * (stop - j), [(0, 1)] * (stop - j)
+        for k in range(1, parts):
+            nearest(k, j, stop, more, ways)
+        queue, (head, end, enter) = queues[0], state[0]
+        for to in range(j, stop):
+            at = marks[to]
+            low = at - length
+            while enter < to and marks[enter] < at:
+                v = key[enter]
+                while end > head and key[queue[end - 1]] >= v:
+                    end -= 1
+                queue[end] = enter
+                end += 1
+                enter += 1
+            while head < end and marks[queue[head]] < low:
+                head += 1
+            least, how = more[to - j], ways[to - j]
+            if head < end:
+                cost = key[queue[head]] + length - at
+                if cost <= least:  # a tie goes to the single window
+                    least, how = cost, (queue[head], 1)
+            key[to] = least + costs[to] + at
+            back[to] = how
+        state[0] = head, end, enter
+        j = stop
     cuts, j = [], n - 1
     while j:
         i, k = back[j]
