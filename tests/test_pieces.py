@@ -68,3 +68,66 @@ def test_hits_by_community_follow_plain_draws():
             row[k] = n
     assert (got.sum(1) == 30).all() and (got @ np.arange(4) == 40).all()
     assert np.abs(got.mean(0) - want.mean(0)).max() < 0.25 and np.abs(got.std(0) - want.std(0)).max() < 0.15
+
+
+def plain(edges, method):
+    a, b = map(K.Graph, sides(edges))
+    f = {"G2": K.Graph.spectral_gap, "G5": K.Graph.exponent, "G6": lambda g: K.degree_entropy(*np.unique(np.bincount(g.dst)[np.bincount(g.dst) > 0], return_counts=True)), "G8": K.Graph.betweenness}[method]
+    return abs(f(b) - f(a))
+
+
+@pytest.mark.parametrize("method", ["G2", "G5", "G6", "G8"])
+def test_series_by_pieces_equal_whole_windows(spark, monkeypatch, method):
+    from quillspark.plans import kernels
+
+    monkeypatch.setattr(P.pieces, "__defaults__", (20,))
+    edges = window(3)
+    (row,) = kernels.graph_series(frame(spark, edges), method).collect()
+    assert row.value == pytest.approx(plain(edges, method))
+
+
+@pytest.mark.parametrize("method", ["G2", "G5", "G6", "G8"])
+def test_null_by_pieces_follows_permuted_windows(spark, monkeypatch, method):
+    from quillspark.plans import kernels
+
+    monkeypatch.setattr(P.pieces, "__defaults__", (20,))
+    edges = window(4)
+    (row,) = kernels.graph_null(frame(spark, edges), method, 300).collect()
+    r, values = np.random.default_rng(1), []
+    nodes, pairs = sorted({v for _, a, b in edges for v in (a, b)}), sorted({(a, b) for _, a, b in edges})
+    size = len({v for s, a, b in edges if s == "before" for v in (a, b)})
+    for _ in range(300):
+        one = set(r.permutation(nodes)[:size].tolist())
+        values.append(plain([("before" if a in one else "after", a, b) for a, b in pairs if (a in one) == (b in one)], method))
+    values = np.array(values)
+    assert row.observed == pytest.approx(plain(edges, method))
+    assert abs(row.null_mean - np.nanmean(values)) < 6 * np.nanstd(values) / 300**0.5 and abs(row.null_std / np.nanstd(values) - 1) < 0.3
+
+
+def test_subsample_keeps_its_share(spark, monkeypatch):
+    monkeypatch.setattr(P.pieces, "__defaults__", (20,))
+    p = P.pieces(frame(spark, window(5)))
+    dealer = P.Dealer(p, 4, 1, lambda n, before: 0.8 * n)
+    chosen = [sum(int(c.sum()) for r in p.collect() for i, c in dealer((r.anchor, r.width, r.piece), r.n) if i == rep) for rep in range(4)]
+    assert chosen == [int(0.8 * sum(r.n for r in p.collect()))] * 4
+
+
+def test_betweenness_counts_all_sources():
+    import itertools
+
+    r = np.random.default_rng(2)
+    g = K.Graph([(i, i // 2) for i in range(1, 700)] + r.integers(0, 700, (60, 2)).tolist())
+    near, part = g.neighbours(), g.largest()
+    total = 0
+    for s in part:
+        dist, queue = {s: 0}, [s]
+        for v in queue:
+            for u in near[v]:
+                if u not in dist:
+                    dist[u] = dist[v] + 1
+                    queue.append(u)
+        total += sum(d - 1 for d in dist.values() if d)
+    n = len(part)
+    assert len(part) > 500 and g.betweenness() == pytest.approx(total / n / ((n - 1) * (n - 2)), rel=1e-12)
+    star = K.Graph([(0, i) for i in itertools.chain(range(1, 601))])
+    assert star.betweenness() == pytest.approx(1 / 601)
