@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -119,3 +120,23 @@ def test_bootstrap_has_200_replicates_of_each_window(spark, tmp_path):
     pd.DataFrame({"vec_id": np.arange(60), "embedding": list(v), "label": np.arange(60) % 6}).to_parquet(tmp_path / "embeddings.parquet")
     got = kernels.queries()["UN_12_bootstrap"](spark, str(tmp_path)).toPandas().groupby(["anchor", "width"]).replicate
     assert len(got) and (got.nunique() == 200).all() and (got.size() == 200).all()
+
+
+def test_exact_quantiles_hold_no_table_in_a_task(spark):
+    import numpy as np
+
+    from quillspark.operators import relational as R
+
+    v = [float(x) for x in np.random.default_rng(1).integers(0, 300, 1001)]
+    d = spark.createDataFrame([(x,) for x in [*v, None]], "x double")
+    q = R.exact_quantiles(d, "x", {"lo": 0.01, "mid": 0.5, "hi": 0.993})
+    assert tuple(q.first()) == pytest.approx(tuple(np.quantile(v, [0.01, 0.5, 0.993])))
+    assert "percentile" not in q._jdf.queryExecution().toString()
+    assert tuple(R.exact_quantiles(d.where("x is null"), "x", {"lo": 0.5}).first()) == (None,)
+
+
+def test_fixture_sample_has_no_window_over_a_side(spark):
+    from quillspark.plans import catalog
+
+    plan = catalog.queries()["SL_09_fixture_sample"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "TakeOrderedAndProject" in plan
