@@ -46,6 +46,16 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(sorted_tokens(x), sorted_tokens(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def token_sorted(a: pd.Series) -> pd.Series:
+    return a.map(lambda x: None if x is None else sorted_tokens(x))
+
+
+@F.pandas_udf(T.DoubleType())
+def subsequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     clean = lambda s: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (s or "").lower())).strip()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import similarity as S
 from quillspark.functions import text as T
 from quillspark.operators.components import components
 from quillspark.operators.relational import numbered
@@ -100,15 +101,57 @@ def merge_citations(parts: list[DataFrame], sentinel: str) -> DataFrame:
     return out.withColumns(keys).groupBy(*keys).agg(first).select(*[C(f"_r.{c}").alias(c) for c in columns])
 
 
-def blocked_match(refs: DataFrame, works: DataFrame, score, least: float) -> DataFrame:
-    """Best work for each reference among those within a year: an equi-join on years, pruned by what lengths allow, then the
-    score; the best wins, then the earlier year offset, then the smaller work. Titles of up to 10 characters don't match."""
-    r = refs.where(F.length("ref_title") > 10).withColumn("offset", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("year", C("ref_year") + C("offset"))
-    short, long = F.least(F.length("ref_title"), F.length("title")), F.greatest(F.length("ref_title"), F.length("title"))
-    pairs = r.join(works.where(F.length("title") > 10).select("work_id", "title", "year"), "year").where(short >= long * least / (200 - least))
-    pairs = pairs.withColumn("score", score(C("ref_title"), C("title"))).where(C("score") >= least)
-    w = Window.partitionBy("ref_id").orderBy(F.desc("score"), "offset", "work_id")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("ref_id", "work_id", "score")
+def blocked_match(refs: DataFrame, works: DataFrame, least: float) -> DataFrame:
+    """Best work for each reference among those within a year, by the share of a common subsequence in both titles with words in
+    order (``token_sort_ratio``), ``least`` or more; the best wins, then the earlier year offset, then the smaller work. Titles of
+    up to 10 characters don't match.
+
+    Equal titles of a year are one. First all works at most two characters inserted or left out away are found: of three equal
+    parts of such a title one is in the reference's untouched, shifted by no more than its edits, so a join on hashed parts
+    brings them. In titles of seven characters or more, each of these scores above every work further away. References without
+    one are compared with all works of near years whose length allows ``least``.
+    """
+    r = saved(refs.where((F.length("ref_title") > 10) & C("ref_year").isNotNull()).select("ref_id", "ref_year", S.token_sorted("ref_title").alias("a")))
+    w = works.where((F.length("title") > 10) & C("year").isNotNull()).select("work_id", "year", S.token_sorted("title").alias("b"))
+    w = saved(w.groupBy("b", "year").agg(F.min("work_id").alias("work_id")).select("*", F.length("b").alias("lb"), F.monotonically_increasing_id().alias("w")))
+    d = saved(r.select("a", "ref_year").distinct().select("*", F.length("a").alias("la"), F.monotonically_increasing_id().alias("r")))
+    near = d.select("r", "ref_year", F.explode(_probes("a", "la")).alias("h")).join(w.where("lb >= 5").select("w", "year", F.explode(_parts("b", "lb")).alias("h")), "h")
+    near = near.where("year between ref_year - 1 and ref_year + 1").select("r", "w").distinct().join(d, "r").join(w, "w")
+    scored = lambda p: p.select("r", "la", "lb", S.subsequence_ratio("a", "b").alias("score"), (C("year") - C("ref_year")).alias("offset"), "work_id")
+    near = saved(scored(near).where("la > 6 and score >= 100 * (1 - 2.5 / (la + lb))").drop("la", "lb"))
+    allowed = least / (200 - least)
+    grade = lambda n: F.floor(F.ln(n + 1.0) / F.lit(0.1))  # noqa: E731  lengths on a logarithmic scale: few for each title
+    rest = d.join(near.select("r").distinct(), "r", "left_anti").withColumn("grade", F.explode(F.sequence(grade(F.floor(C("la") * allowed)), grade(F.ceil(C("la") / allowed)))))
+    rest = rest.withColumn("year", F.explode(F.array(*[C("ref_year") + o for o in (-1, 0, 1)])))
+    far = rest.join(w.withColumn("grade", grade(C("lb"))), ["year", "grade"]).where(F.least("la", "lb") >= F.greatest("la", "lb") * allowed)
+    found = near.unionByName(scored(far).drop("la", "lb")).where(C("score") >= least)
+    first = F.min(F.struct((-C("score")).alias("s"), "offset", "work_id")).alias("m")
+    best = found.groupBy("r").agg(first).join(d, "r").select("a", "ref_year", (-C("m.s")).alias("score"), "m.offset", "m.work_id")
+    return r.join(best, ["a", "ref_year"]).groupBy("ref_id").agg(first).select("ref_id", "m.work_id", (-C("m.s")).alias("score"))
+
+
+def _part(text: str, start: Column, end: Column, n: Column, i: int, shift: int = 0) -> Column:
+    return F.xxhash64(F.lit(i), n, F.substring(C(text), (start + shift + 1).cast("int"), (end - start).cast("int")))
+
+
+def _third(n: Column, i: int) -> Column:
+    return F.floor(n * i / 3)
+
+
+def _parts(text: str, n: str) -> Column:
+    """Hashes of a string's three parts."""
+    return F.array(*[_part(text, _third(C(n), i), _third(C(n), i + 1), C(n), i) for i in range(3)])
+
+
+def _probes(text: str, n: str) -> Column:
+    """Hashes of what may be a part of a string at most two insertions or deletions away: of each length of the other, the
+    part ``i`` has at most ``i`` edits before it and ``2 - i`` after it where it is the first one untouched counted from one end."""
+    out = []
+    for more in range(-2, 3):
+        other = C(n) + more
+        for i in range(3):
+            out += [_part(text, _third(other, i), _third(other, i + 1), other, i, s) for s in range(-i, i + 1) if abs(s + more) <= 2 - i]
+    return F.array(*out)
 
 
 def near_duplicate_groups(works: DataFrame, prefix: int = 200, least: int = 5, least_abstract: int = 50, overlap: float = 0.5) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -140,3 +142,25 @@ def test_fixture_sample_has_no_window_over_a_side(spark):
 
     plan = catalog.queries()["SL_09_fixture_sample"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Window" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_blocked_match_is_that_of_all_pairs(spark):
+    from quillspark.functions import similarity as S
+
+    r, works, refs = random.Random(4), [], []
+    for i in range(300):
+        words = ["".join(r.choice("abé") for _ in range(r.randint(1, 6))) for _ in range(r.randint(2, 6))]
+        works.append((i, " ".join(words) + "!" * r.choice([0, 0, 30]), 2000 + i % 5))
+    for i in range(200):
+        title = list(r.choice(works)[1])
+        for _ in range(r.choice([0, 1, 2, 3, 6])):
+            at = r.randrange(len(title))
+            title[at : at + r.randint(0, 1)] = r.choice([["b"], ["a"], []])
+        refs.append((i, "".join(title), r.choice([None, *range(1999, 2006)])))
+    want = {}
+    for i, t, y in refs:
+        ok = [(-S.ratio(S.sorted_tokens(t), S.sorted_tokens(b)), year - y, w) for w, b, year in works if y and len(t) > 10 and len(b) > 10 and abs(year - y) <= 1]
+        if ok and min(ok)[0] <= -85:
+            want[i] = (min(ok)[2], -min(ok)[0])
+    got = O.blocked_match(spark.createDataFrame(refs, "ref_id long, ref_title string, ref_year int"), spark.createDataFrame(works, "work_id long, title string, year int"), 85.0)
+    assert {x.ref_id: (x.work_id, x.score) for x in got.collect()} == want and len(want) > 50
