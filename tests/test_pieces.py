@@ -131,3 +131,25 @@ def test_betweenness_counts_all_sources():
     assert len(part) > 500 and g.betweenness() == pytest.approx(total / n / ((n - 1) * (n - 2)), rel=1e-12)
     star = K.Graph([(0, i) for i in itertools.chain(range(1, 601))])
     assert star.betweenness() == pytest.approx(1 / 601)
+
+
+def test_ranks_by_profiles_are_those_of_whole_windows(spark, monkeypatch):
+    from quillspark.plans import kernels as PK
+
+    edges = window(3)
+    monkeypatch.setattr(P, "ROWS", 20)
+    monkeypatch.setattr(P.pieces, "__defaults__", (20,))
+    a, b = map(K.Graph, sides(edges))
+    got = PK.pagerank_series(frame(spark, edges)).collect()
+    assert [r.value for r in got] == [pytest.approx(K.pagerank_js(a, b), abs=1e-12)]
+    # permutations of the window, dealt as a whole
+    r, nodes = np.random.default_rng(1), sorted({v for _, x, y in edges for v in (x, y)})
+    first, pairs, plain = len({v for s, x, y in edges if s == "before" for v in (x, y)}), {(x, y) for _, x, y in edges}, []
+    for _ in range(200):
+        on = dict(zip(nodes, r.permutation(len(nodes)) < first))
+        plain.append(K.pagerank_js(*(K.Graph([(x, y) for x, y in pairs if on[x] == on[y] == s]) for s in (True, False))))
+    null = PK.pagerank_null(frame(spark, edges), 200).collect()
+    assert len(null) == 1 and null[0].observed == pytest.approx(got[0].value)
+    assert abs(null[0].null_mean - np.mean(plain)) < 5 * np.std(plain) / 200**0.5 * 2**0.5 and abs(null[0].null_std / np.std(plain) - 1) < 0.3
+    most = P.rank_profiles(P.pieces(frame(spark, [("before", 10 * g, 10 * g + 1) for g in range(500)])), None).collect()
+    assert sorted(x.n for x in most) == [500, 500]
