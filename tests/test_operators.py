@@ -164,3 +164,31 @@ def test_blocked_match_is_that_of_all_pairs(spark):
             want[i] = (min(ok)[2], -min(ok)[0])
     got = O.blocked_match(spark.createDataFrame(refs, "ref_id long, ref_title string, ref_year int"), spark.createDataFrame(works, "work_id long, title string, year int"), 85.0)
     assert {x.ref_id: (x.work_id, x.score) for x in got.collect()} == want and len(want) > 50
+
+
+def test_tfidf_moves_no_tokens_and_takes_repeated_keys_together(spark):
+    docs = [(1, "aa bb bb cc"), (2, "bb cc dd"), (3, None), (4, ""), (5, "aa cc cc ee"), (2, "dd aa"), (None, "cc bb")]
+    once = [(1, "aa bb bb cc"), (2, "bb cc dd dd aa"), (5, "aa cc cc ee"), (None, "cc bb")]
+    df = {t: sum(t in d.split() for _, d in once) for t in ("aa", "bb", "cc", "dd", "ee")}
+    want = {}
+    for k, d in once:
+        w = {t: (1 + np.log(d.split().count(t))) * (np.log(8 / (1 + df[t])) + 1) for t in ("aa", "bb", "cc") if t in d.split()}
+        want |= {(k, t): x / np.sqrt(sum(v * v for v in w.values())) for t, x in w.items()}
+    got = A.tfidf(spark.createDataFrame(docs, "id long, text string"), "id", "text", 2, 3)
+    assert {(r.id, r.term): pytest.approx(r.weight) for r in got.collect()} == want
+    plain = A.tfidf(spark.createDataFrame(once, "id long, text string"), "id", "text", 2, 3)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gram_space_sums_products_in_tasks(spark):
+    from quillspark.plans.remaining import _gram_space
+
+    r = np.random.default_rng(2)
+    x = r.random((60, 8)) * (r.random((60, 8)) < 0.5)
+    weights = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "id long, term string, weight double").repartition(3)
+    got, _ = _gram_space(weights, "id", 3)
+    rows = {k.id: k.s for k in got.collect()}
+    values, v = np.linalg.eigh(x.T @ x)
+    v = v[:, np.argsort(-values)[:3]]
+    y = x @ (v * np.sign(v[np.abs(v).argmax(0), np.arange(3)]))
+    assert all(rows[i] == pytest.approx(y[i]) for i in range(60) if x[i].any())
