@@ -114,10 +114,9 @@ def _(works):
 @op("JN_18_jaccard_pairs", "edges", sql="WITH e AS (SELECT DISTINCT source_id, ref_id FROM edges), n AS (SELECT source_id, count(*) n FROM e GROUP BY 1), p AS (SELECT a.source_id a, b.source_id b, count(*) k FROM e a JOIN e b ON a.ref_id = b.ref_id AND a.source_id < b.source_id GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) jaccard FROM p JOIN n x ON x.source_id = a JOIN n y ON y.source_id = b")
 def _(edges):
     e = edges.select("source_id", "ref_id").distinct()
-    n = e.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    p = R.pairs_within(e, "ref_id", "source_id").withColumnRenamed("n", "k")
-    p = p.join(n.select(C("source_id").alias("a"), C("n").alias("na")), "a").join(n.select(C("source_id").alias("b"), C("n").alias("nb")), "b")
-    return p.select("a", "b", r6(C("k") / (C("na") + C("nb") - C("k")), "jaccard"))
+    e = e.withColumn("refs", F.count(F.lit(1)).over(R.Window.partitionBy("source_id")))
+    p = R.pairs_within(e, "ref_id", "source_id", "refs")
+    return p.select("a", "b", r6(C("n") / (C("carry_a") + C("carry_b") - C("n")), "jaccard"))
 
 
 @op("ST_01_union_all", "works", sql="SELECT source, count(*) n FROM (SELECT source FROM works UNION ALL SELECT lang FROM works) GROUP BY 1")
