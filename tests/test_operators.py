@@ -192,3 +192,28 @@ def test_gram_space_sums_products_in_tasks(spark):
     v = v[:, np.argsort(-values)[:3]]
     y = x @ (v * np.sign(v[np.abs(v).argmax(0), np.arange(3)]))
     assert all(rows[i] == pytest.approx(y[i]) for i in range(60) if x[i].any())
+
+
+def test_pairs_are_counted_without_moving_each(spark):
+    r = random.Random(3)
+    rows = [(r.choice([None, *range(12)]), r.choice([None, *range(20)])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k int, v long")
+    held = {v: {k for k, x in rows if x == v and k is not None} for v in range(20)}
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and held[a] & held[b]}
+    p = R.pairs_within(df, "k", "v", rows=50)
+    assert {(x.a, x.b): x.n for x in p.collect()} == want and p.count() == len(want)
+    assert p.rdd.getNumPartitions() > 4  # grows with the pairs
+    c = R.pairs_within(df.withColumn("w", F.col("v") * 2), "k", "v", "w").collect()
+    assert {(x.a, x.b): x.n for x in c} == want and all(x.carry_a == 2 * x.a and x.carry_b == 2 * x.b for x in c)
+
+
+def test_edges_are_joined_in_parts_that_grow_in_number(spark, monkeypatch):
+    from quillspark.plans import proxy
+
+    def first(rows):
+        monkeypatch.setattr(proxy, "ROWS", rows)
+        q = R.top_per_group(proxy.view(spark, "/root/testdata/sf0.001", "edges").select("source_id", "ref_id").distinct(), ["source_id"], 3, F.col("ref_id"))
+        return q.rdd.getNumPartitions(), sorted(map(tuple, q.collect()))
+
+    (few, a), (many, b) = first(1_000_000), first(100)
+    assert many > 20 >= few and a == b
