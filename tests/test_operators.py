@@ -217,3 +217,42 @@ def test_edges_are_joined_in_parts_that_grow_in_number(spark, monkeypatch):
 
     (few, a), (many, b) = first(1_000_000), first(100)
     assert many > 20 >= few and a == b
+
+
+def moved(plan) -> int:
+    """Rows that all exchanges of a plan that has run wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        return moved(plan.executedPlan() if kind.startswith("Adaptive") else plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(moved(children.apply(i)) for i in range(children.size()))
+
+
+def test_disruption_moves_lists_not_triples(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    n = 60  # each work cites all before it: 1,770 edges, 34,220 edges that close a triangle
+    edges = spark.createDataFrame([(a, b) for a in range(n) for b in range(a)], "source_id long, ref_id long")
+    d = A.disruption(edges, edges, spark.createDataFrame([(i, i % 3) for i in range(n)], "id long, year int"))
+    d.collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 1770 <= moved(d._jdf.queryExecution().executedPlan()) < 6 * 1770
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 40])
+def test_disruption_on_any_graph(spark, cells):
+    r = random.Random(8)
+    some = lambda: {(r.randrange(25), r.randrange(30)) for _ in range(90)}
+    refs, inner = some(), some()
+    for R_, I_ in ((refs, inner), (refs, refs)):
+        want = {}
+        for w in range(30):
+            own, citers = {b for a, b in R_ if a == w}, {a for a, b in I_ if b == w}
+            j = sum(any((c, x) in R_ for x in own) for c in citers)
+            k = len({a for a, b in I_ if b in own} - citers)
+            if citers or k:
+                want.setdefault(w % 4, []).append((len(citers) - 2 * j) / (len(citers) + k))
+        edges = [spark.createDataFrame(sorted(x) * 2, "source_id long, ref_id long") for x in (R_, I_)]
+        works = spark.createDataFrame([(w, w % 4) for w in range(30)], "id long, year int")
+        got = A.disruption(edges[0], edges[0] if R_ is I_ else edges[1], works, cells).collect()
+        assert {x.year: round(x.value, 9) for x in got} == {y: round(sum(v) / len(v), 9) for y, v in want.items()}
