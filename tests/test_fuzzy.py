@@ -66,3 +66,12 @@ def test_ratios_of_short_texts_in_one_go():
         i, j, got = S.short_ratios(x, other, 60.0, same, cells=40)
         want = {(p, q): S.ratio(x[p], other[q]) for p in range(len(x)) for q in range(len(other)) if (q > p or not same) and S.ratio(x[p], other[q]) >= 60}
         assert len(i) == len(want) and dict(zip(zip(i.tolist(), j.tolist()), got.tolist())) == want
+
+
+def test_ratios_of_many_pairs_together():
+    r = random.Random(6)
+    some = lambda: "".join(r.choice("abcdé 字") for _ in range(r.choice([0, 1, 62, 63, 64, 126, 127, 300, r.randint(1, 500)])))
+    a, b = ([some() for _ in range(300)] for _ in range(2))
+    b[:100] = [s[:-1] + "a" + s[3:9] for s in a[:100]]
+    want = [S.ratio(x, y) for x, y in zip(a, b)]
+    assert S.ratios(a, b).tolist() == want == S.ratios(a, b, 200, 500).tolist()
